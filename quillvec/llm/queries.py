@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillvec.sources import read_table
 
+from .neardup import near_duplicate_groups
 from .terms import term_counts, term_mark
 
 
@@ -20,6 +21,20 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_counts(read_table(spark, d, "movies")).select("term", "occurrences", "records", term_mark().alias("mark"))
 
 
+def _movie_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_groups(read_table(spark, d, "movies"), words=3, threshold=0.5)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = _movie_groups(spark, d)
+    a, b = (groups.select("group_id", F.col("id").alias(f"doc_id_{x}")) for x in "ab")
+    return a.join(b, "group_id").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _movie_groups(spark, d).select(F.col("id").alias("doc_id"), "group_id")
+
+
 _TERMS = r"""
 WITH one AS (SELECT doc_id, any_value(tokens) AS tokens FROM movies WHERE len(tokens) > 0 AND doc_id IS NOT NULL GROUP BY doc_id),
  each AS (SELECT doc_id, lower(regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS term FROM (SELECT doc_id, unnest(tokens) AS t FROM one)),
@@ -28,12 +43,25 @@ WITH one AS (SELECT doc_id, any_value(tokens) AS tokens FROM movies WHERE len(to
 """
 
 
+_GROUPS = r"""
+WITH RECURSIVE word AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || plot), '[\p{L}\p{N}]+') AS w FROM movies WHERE doc_id IS NOT NULL AND len(regexp_extract_all(lower(plot), '[\p{L}\p{N}]+')) >= 20),
+ piece AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM word),
+ sized AS (SELECT doc_id, count(*) AS n FROM piece GROUP BY doc_id),
+ met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM piece x JOIN piece y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+ link AS (SELECT a, b FROM met JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE met.n * 2 >= p.n + q.n - met.n),
+ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+ reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_terms": p3_terms}
+    return {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
+        "p4_found": _GROUPS + "SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM reach WHERE a < b",
+        "p4_groups": _GROUPS + "SELECT doc_id, least(doc_id, min(b)) AS group_id FROM (SELECT DISTINCT doc_id FROM movies WHERE doc_id IS NOT NULL) m LEFT JOIN reach ON a = doc_id GROUP BY doc_id",
         "p3_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
     }
