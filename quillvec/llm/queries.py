@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillvec.sources import read_table
 
+from .leaks import leaked_passages
 from .neardup import near_duplicate_groups
+from .packing import pack_texts, token_count
 from .terms import term_counts, term_mark
 
 
@@ -35,6 +37,22 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _movie_groups(spark, d).select(F.col("id").alias("doc_id"), "group_id")
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(read_table(spark, d, "documents"), read_table(spark, d, "context_sizes"), tokens=token_count(F.col("text")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_containers(spark, d).where("piece > 0").select("size_id", "doc_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where("coverage >= 0.25").select("doc_id", "item_id")
+
+
 _TERMS = r"""
 WITH one AS (SELECT doc_id, any_value(tokens) AS tokens FROM movies WHERE len(tokens) > 0 AND doc_id IS NOT NULL GROUP BY doc_id),
  each AS (SELECT doc_id, lower(regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS term FROM (SELECT doc_id, unnest(tokens) AS t FROM one)),
@@ -54,8 +72,17 @@ WITH RECURSIVE word AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesc
 """
 
 
+_LEAKS = r"""
+WITH item AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items),
+ item_run AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i : i + 4], 'string_agg', ' '))) AS s FROM item),
+ doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+ doc_run AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i : i + 4], 'string_agg', ' '))) AS s FROM doc),
+ met AS (SELECT doc_id, item_id, count(*) AS n FROM doc_run JOIN item_run USING (s) GROUP BY 1, 2)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -63,5 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _TERMS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p4_found": _GROUPS + "SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM reach WHERE a < b",
         "p4_groups": _GROUPS + "SELECT doc_id, least(doc_id, min(b)) AS group_id FROM (SELECT DISTINCT doc_id FROM movies WHERE doc_id IS NOT NULL) m LEFT JOIN reach ON a = doc_id GROUP BY doc_id",
+        "p6_found": r"SELECT size_id, doc_id FROM documents, context_sizes WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{Z}]')) > capacity",
+        "p7_found": _LEAKS + "SELECT doc_id, item_id FROM met JOIN (SELECT item_id, count(*) AS runs FROM item_run GROUP BY 1) USING (item_id) WHERE n * 4 >= runs",
         "p3_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
     }
