@@ -12,6 +12,7 @@ from quillvec.sources import read_table
 from .leaks import leaked_passages
 from .neardup import near_duplicate_groups
 from .packing import pack_texts, token_count
+from .reading import reading_levels
 from .terms import term_counts, term_mark
 
 
@@ -53,6 +54,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("coverage >= 0.25").select("doc_id", "item_id")
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).where("band in ('easy', 'hard')").select("doc_id", "band")
+
+
 _TERMS = r"""
 WITH one AS (SELECT doc_id, any_value(tokens) AS tokens FROM movies WHERE len(tokens) > 0 AND doc_id IS NOT NULL GROUP BY doc_id),
  each AS (SELECT doc_id, lower(regexp_replace(t, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS term FROM (SELECT doc_id, unnest(tokens) AS t FROM one)),
@@ -82,7 +91,7 @@ WITH item AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks}
+    return {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:
