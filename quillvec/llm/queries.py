@@ -12,10 +12,19 @@ from quillvec.sources import read_table
 from .leaks import leaked_passages
 from .neardup import near_duplicate_groups
 from .packing import pack_texts, token_count
+from .quality import text_quality
 from .reading import reading_levels
 from .terms import term_counts, term_mark
 
 
+def p2_quality(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(read_table(spark, d, "movies")).withColumnRenamed("id", "doc_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_quality(spark, d).where("chars >= 60 and doc_id is not null and profile not in ('prose', 'empty')").select("doc_id").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return term_counts(read_table(spark, d, "movies")).select("term", term_mark().alias("mark")).where("mark is not null")
 
@@ -91,7 +100,7 @@ WITH item AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
+    return {"p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:
