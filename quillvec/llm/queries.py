@@ -11,12 +11,25 @@ from quillvec.sources import read_table
 
 from .leaks import leaked_passages
 from .neardup import near_duplicate_groups
+from .neighbors import similar_vectors
 from .packing import pack_texts, token_count
 from .quality import text_quality
 from .reading import reading_levels
 from .terms import term_counts, term_mark
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = similar_vectors(read_table(spark, d, "doc_vectors_w2v"), k=10, min_similarity=0.88)
+    return near.select(F.least("id", "other").alias("doc_id_a"), F.greatest("id", "other").alias("doc_id_b")).distinct()
+
+
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every movie whose id is divisible by 100, whatever their similarity, against all rows."""
+    vectors = read_table(spark, d, "doc_vectors_w2v")
+    near = similar_vectors(vectors, k=10, probes=1_500, queries=vectors.where("doc_id % 100 = 0"))
+    return near.select(F.col("id").alias("doc_id"), F.col("other").alias("near_id"), "rank", F.round("similarity", 6).alias("similarity"))
+
+
 def p2_quality(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(read_table(spark, d, "movies")).withColumnRenamed("id", "doc_id")
 
@@ -100,7 +113,7 @@ WITH item AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
+    return {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:
