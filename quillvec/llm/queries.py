@@ -17,6 +17,8 @@ from .quality import text_quality
 from .reading import reading_levels
 from .terms import term_counts, term_mark
 
+from .themes import named_themes, theme_report, vector_themes
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     near = similar_vectors(read_table(spark, d, "doc_vectors_w2v"), k=10, min_similarity=0.88)
@@ -60,6 +62,17 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _movie_groups(spark, d).select(F.col("id").alias("doc_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    themes = vector_themes(read_table(spark, d, "doc_vectors_w2v"))
+    return named_themes(themes, read_table(spark, d, "theme_labels")).select(F.col("id").alias("doc_id"), F.col("name").alias("theme"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each theme's size and its ten most typical movies."""
+    themes = vector_themes(read_table(spark, d, "doc_vectors_w2v"))
+    return theme_report(themes).withColumnRenamed("id", "doc_id").withColumn("log_density", F.round("log_density", 6))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(read_table(spark, d, "documents"), read_table(spark, d, "context_sizes"), tokens=token_count(F.col("text")))
 
@@ -113,7 +126,7 @@ WITH item AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
+    return {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:
