@@ -27,8 +27,10 @@ from .vectors import kmeans, matrix, sample_matrix, squared_distances, unit_vect
 SAMPLE_ROWS = 20_000
 #: Occupied cells that a query visits, unless the caller asks for more.
 PROBES = 32
-#: Vectors of a shard that one task holds.
-BLOCK_ROWS = 20_000
+#: Vectors for which a shard is made, the most shards, and the vectors of a shard that one task holds.
+SHARD_ROWS = 8_000
+MAX_SHARDS = 2_000
+BLOCK_ROWS = 40_000
 MAX_CENTROIDS = 1_024
 
 
@@ -56,10 +58,11 @@ class MultiIndex:
         self.half = sample.shape[1] // 2
         k = int(np.clip(round(1.1 * n ** (1 / 3)), 1, min(MAX_CENTROIDS, max(1, len(sample)))))
         self.books = [kmeans(sample[:, : self.half], k, 8, seed), kmeans(sample[:, self.half :], k, 8, seed + 1)]
-        groups = max(1, min(round((n / 4_000) ** 0.5), 24, k))
-        self.groups = [squared_distances(c, kmeans(c, groups, 8, seed)).argmin(1) for c in self.books]
         self.width = len(self.books[1])
-        self.shard = (self.groups[0][:, None] * groups + self.groups[1][None, :]).ravel()
+        # cells go to the nearest of some coarse centers, so that those a query visits lie in few shards
+        coarse = kmeans(sample, int(np.clip(round(n / SHARD_ROWS), 1, MAX_SHARDS)), 8, seed)
+        middle = np.hstack([np.repeat(self.books[0], self.width, 0), np.tile(self.books[1], (len(self.books[0]), 1))])
+        self.shard = np.concatenate([squared_distances(middle[i : i + 20_000], coarse).argmin(1) for i in range(0, len(middle), 20_000)])
         self.size = np.zeros(len(self.shard), np.int64)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
