@@ -90,6 +90,8 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*")
 _TAG = re.compile(r"<[^<>\n]{1,200}>|&#?[a-z0-9]+;?|https?://\S+", re.I)
 _PUNCTUATION = set(".,;:!?\"'()…“”‘’«»–—-")
 _CLOSING = re.compile(r"[.!?…][\"'”’»)]*\s*$")
+#: Words within which repetition is measured, so that the length of a text doesn't count, and the share of distinct words below which nothing is said.
+REPEAT_WORDS, REPEATED = 100, 0.12
 PROFILES = ("prose", "list", "table", "markup", "noise")
 
 
@@ -153,7 +155,8 @@ class Profiler:
             share[PROFILES.index("markup")] += removed
         prose = float(share[0])
         distinct = len(set(words)) / n if n else 0.0
-        if n >= STRETCH_WORDS and distinct < 0.1:  # the same few words again and again
+        near = [len(set(words[s : s + REPEAT_WORDS])) for s in range(0, n, REPEAT_WORDS)]
+        if n >= STRETCH_WORDS and sum(near) < REPEATED * n:  # the same few words again and again
             prose = 0.0
         rest = int(share[1:].argmax()) + 1
         return out | {
