@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.functions.ranking import topk
 from quillvec.functions.vectors import as_doubles, norm
+from quillvec.plans.lineage import cut
+
+from .arrow import to_lists
 
 
 def train_word2vec(tokens: DataFrame, size: int = 200, window: int = 5, min_count: int = 5, seed: int = 42, iterations: int = 1, partitions: int = 1):
@@ -57,6 +62,13 @@ def cosine_with_epsilon(a: Column | str, b: Column | str, epsilon: float = 1e-10
     return dot(a, b) / (norm(a) * norm(b) + F.lit(epsilon))
 
 
+def _times(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+    """Sparse rows (columns 1 and 2: term numbers and weights, none empty) times `q`."""
+    t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+    starts = batch.column(1).offsets.to_numpy()[:-1] - batch.column(1).offsets[0].as_py()
+    return np.add.reduceat(q[t] * w[:, None], starts, axis=0)
+
+
 @dataclass
 class LSI:
     """Truncated SVD of the document-term matrix; documents are scaled left vectors, queries are projected on terms.
@@ -67,6 +79,7 @@ class LSI:
 
     k: int = 200
     max_terms: int = 20_000
+    passes: int = 4
     terms: list[str] | None = None
     idf: np.ndarray | None = None
     sigma: np.ndarray | None = None
@@ -74,29 +87,64 @@ class LSI:
     doc_vectors: DataFrame | None = None
 
     def fit(self, tokens: DataFrame) -> LSI:
-        from pyspark.mllib.linalg import Vectors
-        from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
+        """Subspace iteration from random directions: each pass over the documents multiplies them by both sides of the matrix."""
         weights = tfidf(tokens)
         vocabulary = weights.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(self.max_terms).collect()
         self.terms = sorted(r.term for r in vocabulary)
-        n = tokens.select("doc_id").distinct().count()
+        n, width = tokens.select("doc_id").distinct().count(), len(self.terms)
+        if not width:
+            raise ValueError("no terms to fit on")
         df = {r.term: r.df for r in vocabulary}
         self.idf = np.array([np.log((n + 1) / (df[t] + 1)) + 1 for t in self.terms])
-        index = tokens.sparkSession.createDataFrame(list(zip(self.terms, range(len(self.terms)), strict=True)), "term string, t int")
+        spark = tokens.sparkSession
+        index = spark.createDataFrame(list(zip(self.terms, range(width), strict=True)), "term string, t int")
         rows = weights.join(F.broadcast(index), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("e"))
-        width = len(self.terms)
-        matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r.doc_id, Vectors.sparse(width, [x.t for x in r.e], [x.w for x in r.e]))))
-        svd = matrix.computeSVD(min(self.k, width - 1), computeU=True)
-        self.sigma = np.array(svd.s.toArray())
-        self.term_vectors = np.array(svd.V.toArray())
-        scale = [float(x) for x in self.sigma]
-        found = svd.U.rows.map(lambda r: (int(r.index), [float(a * b) for a, b in zip(r.vector.toArray(), scale)]))
-        found = tokens.sparkSession.createDataFrame(found, "doc_id bigint, v array<double>")
-        zero = F.array_repeat(F.lit(0.0), len(scale))
+        rows = cut(rows.select("doc_id", F.col("e.t").alias("t"), F.col("e.w").alias("w")), "lsi")
+        k = min(self.k, width)
+        q = np.linalg.qr(np.random.default_rng(42).standard_normal((width, min(width, k + 10))))[0]
+        for _ in range(self.passes):
+            q = np.linalg.qr(self._both_sides(rows, q))[0]
+        small = q.T @ self._both_sides(rows, q)
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values)[:k]
+        self.sigma = np.sqrt(np.maximum(values[order], 1e-12))
+        self.term_vectors = q @ turn[:, order]
+        shared = spark.sparkContext.broadcast(self.term_vectors)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), to_lists(_times(batch, shared.value))], names=["doc_id", "v"])
+
+        found = rows.mapInArrow(place, "doc_id bigint, v array<double>")
+        zero = F.array_repeat(F.lit(0.0), k)
         self.doc_vectors = tokens.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("v", zero).alias("v"))
         return self
 
+    @staticmethod
+    def _both_sides(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+        """Transposed matrix times matrix times `q`; only as many numbers as `q` has reach the driver."""
+        shared = rows.sparkSession.sparkContext.broadcast(q)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shared.value.shape)
+            for batch in batches:
+                if batch.num_rows:
+                    y = _times(batch, shared.value)
+                    t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+                    doc = np.repeat(np.arange(len(y)), np.diff(batch.column(1).offsets.to_numpy()))
+                    for j in range(total.shape[1]):
+                        total[:, j] += np.bincount(t, weights=w * y[doc, j], minlength=len(total))
+            at = np.flatnonzero(total.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), to_lists(total[at])], names=["t", "x"])
+
+        parts = rows.mapInArrow(step, "t int, x array<double>").groupBy("t").agg(F.array(*[F.sum(F.col("x")[j]) for j in range(q.shape[1])]).alias("x")).collect()
+        out = np.zeros(q.shape)
+        for r in parts:
+            out[r.t] = r.x
+        shared.unpersist()
+        return out
+
     def transform_query(self, tokens: list[str]) -> np.ndarray:
         """Inverse singular values times term vectors times the query's tf-idf; unknown terms count nothing."""
         if self.terms is None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillvec.plans.lineage import cut
+
 MOVIES = T.StructType([T.StructField("title", T.StringType()), T.StructField("plot", T.StringType())])
 METADATA = "doc_id BIGINT, title STRING, decade STRING"
 _COMMON = "method STRING, {own}, recall_at_k DOUBLE, ndcg_at_k DOUBLE, candidate_ratio DOUBLE, query_time DOUBLE, N BIGINT, dim INT"
@@ -29,7 +31,8 @@ def read_labelled_csv(spark: SparkSession, pattern: str, label: str = "decade",
 def with_positions(df: DataFrame, *order: str) -> DataFrame:
     """`doc_id` from 0 in a stated order. Ranks are taken within ranges and shifted by the sizes of the ranges before, so no task ranks all rows."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    # written once, so that both uses below see the same partitions
+    numbered = cut(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "positions")
     base = numbered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = base.alias("a").join(base.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p", "a._first").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
     out = numbered.join(F.broadcast(before.select("_p", "_first", "_before")), "_p")
