@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,22 +67,35 @@ def matches(text: str | Column, pattern: str) -> Column:
     return F.coalesce(_col(text).rlike("(?i)" + pattern), F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(stem)
+class _Stems(dict):
+    """Word to stem, emptied beyond a number of words so that memory stays bounded."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = s = stem(word)
+        return s
 
 
 def stem_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """`id, tokens` with every token stemmed. Each distinct word is stemmed once; a row without tokens keeps an empty array."""
-    each = df.select(id_col, F.posexplode(tokens_col).alias("at", "word"))
-    stems = each.select("word").distinct().select("word", _stems("word").alias("stem"))
-    joined = each.join(stems, "word").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "stem"))).alias("s"))
-    tokens = F.coalesce(F.col("s.stem"), F.array().cast("array<string>"))
-    return df.select(id_col).distinct().join(joined, id_col, "left").select(id_col, tokens.alias("tokens"))
+    """`id, tokens` with every token stemmed, row by row without a shuffle; a task stems each distinct word of a batch once. Null gives []."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Stems()
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            stems = pa.array([None if w is None else known[w] for w in coded.dictionary.to_pylist()], pa.string())
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, stems.take(coded.indices))], names=[id_col, "tokens"])
+
+    rows = df.select(id_col, F.col(tokens_col).alias("tokens"))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def tokenize(df: DataFrame, id_col: str, text: Column, remove_stop_words: bool = True, stemming: bool = True) -> DataFrame:
-    """`id, tokens`: split, without stop words, stemmed. Ids are unique; a null or empty text gives []."""
+    """`id, tokens`: split, without stop words, stemmed. A null or empty text gives []."""
     tokens = split_words(text)
     out = df.select(F.col(id_col), (without_stop_words(tokens) if remove_stop_words else tokens).alias("tokens"))
     return stem_tokens(out, id_col, "tokens") if stemming else out

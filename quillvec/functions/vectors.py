@@ -38,7 +38,8 @@ def l2_normalize(v: str | Column, epsilon: float | None = None) -> Column:
     """Unit length; a zero vector stays zero. With `epsilon` every norm gets it added instead."""
     n = norm(v)
     by = n + F.lit(epsilon) if epsilon is not None else F.when(n == 0, 1.0).otherwise(n)
-    return F.transform(as_doubles(v), lambda x: x / by)
+    # the norm is repeated as an array: inside a lambda it would be computed again for every component
+    return F.zip_with(as_doubles(v), F.array_repeat(by, F.size(_col(v))), lambda x, y: x / y)
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

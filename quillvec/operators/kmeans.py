@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillvec.plans.lineage import cut
+
 from .arrow import l2sq_matrix, to_matrix
 
 
@@ -24,6 +26,7 @@ def lloyd(docs: DataFrame, k: int, rounds: int, subspaces: int = 1) -> list[np.n
     numbers, so that rows of a dropped one are NaN. Fewer than `k` rows give as
     many centroids as rows.
     """
+    docs = cut(docs.select("doc_id", F.col("v").cast("array<double>").alias("v")), "lloyd")  # read in every round
     first = docs.orderBy("doc_id").limit(k).select("v").collect()
     if not first:
         return [np.zeros((0, 0)) for _ in range(subspaces)]
@@ -32,7 +35,7 @@ def lloyd(docs: DataFrame, k: int, rounds: int, subspaces: int = 1) -> list[np.n
         raise ValueError("the dimension has to be a multiple of the number of subspaces")
     books = np.split(start, subspaces, axis=1)
     k, width = len(start), books[0].shape[1]
-    vectors = docs.select(F.col("v").cast("array<double>"))
+    vectors = docs.select("v")
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(books)
 
