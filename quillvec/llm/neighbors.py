@@ -102,9 +102,9 @@ def _compare(x, cells_of, entries, entry_cell, k, least):
     cell = np.fromiter((c for cs in cells_of for c in cs), np.int64, int(lengths.sum()))
     order = np.argsort(cell, kind="stable")
     query, cell = query[order], cell[order]
-    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
     found: list[tuple] = []
-    for s, e in zip(start, [*start[1:], len(cell)], strict=True):
+    for s, e in zip(start, np.r_[start[1:], len(cell)], strict=False):
         lo, hi = np.searchsorted(entry_cell, [cell[s], cell[s] + 1])
         if lo == hi:
             continue
@@ -170,7 +170,7 @@ def similar_vectors(
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, seen = held.value, set()
         for whole in batches:
-            for start in range(0, whole.num_rows, 2_000):
+            for start in range(0, whole.num_rows, 2_000):  # no rows, no rounds
                 batch = whole.slice(start, 2_000)
                 x = matrix(batch.column(1), dim)
                 node, asks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -235,8 +235,10 @@ def similar_vectors(
 
         for batch in batches:
             ids, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | ((cell[1:] < 0) != (cell[:-1] < 0))]) if len(ids) else []
-            for s, e in zip(edges, [*edges[1:], len(ids)], strict=True):
+            if not len(ids):
+                continue
+            edges = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | ((cell[1:] < 0) != (cell[:-1] < 0))])
+            for s, e in zip(edges, np.r_[edges[1:], len(ids)], strict=True):
                 if ids[s] != block:
                     if parts:
                         yield from close()

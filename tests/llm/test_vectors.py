@@ -90,6 +90,8 @@ def test_a_third_are_copies(spark):
 def test_no_vectors(spark):
     assert search(spark, []) == {} and search(spark, dirty(16)) == {}
     assert search(spark, [(1, [1.0] * 16)]) == {}
+    rows = [(1, [1.0] * 16), (2, [1.0] * 15 + [2.0])]
+    assert search(spark, rows, queries=frame(spark, rows).where("false")) == {}
     assert vector_themes(frame(spark, dirty(16)), dim=16).count() == 0
 
 
