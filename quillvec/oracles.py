@@ -141,7 +141,7 @@ def oracle_sql() -> dict[str, str]:
         "s2_cast_vectors": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
         "v1_centroids": _sql("SELECT cid, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM (SELECT cid, unnest(cv) AS x, generate_subscripts(cv, 1) AS i FROM km_c)", *_IVF),
         "v2_assign": _sql("SELECT doc_id, cid FROM km_a", *_IVF),
-        "v3_probe": _sql("SELECT qid, cid, round(d2, 6) AS d2, CAST(probe_rank AS BIGINT) AS probe_rank FROM probe WHERE probe_rank <= 2", *_IVF, _PROBE),
+        "v3_probe": _sql("SELECT qid, cid, round(d2, 6) AS d2, CAST(probe_rank AS INTEGER) AS probe_rank FROM probe WHERE probe_rank <= 2", *_IVF, _PROBE),
         "v5_search": _sql("SELECT * FROM near", *_IVF, _PROBE, _probed(2)),
         "v6_candidate_ratio": _sql("SELECT qid, CAST(count(a.doc_id) AS BIGINT) AS n_candidates, round(count(a.doc_id) / (SELECT count(*) FROM docs), 6) AS candidate_ratio FROM probe p LEFT JOIN km_a a ON a.cid = p.cid WHERE probe_rank <= 2 GROUP BY qid", *_IVF, _PROBE),
         "b1_sweep": _sql("SELECT 1 AS n_probes, * FROM near1 UNION ALL SELECT 2, * FROM near2 UNION ALL SELECT 5, * FROM near5", *_IVF, _PROBE, sweep),
@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "t12_text_lengths": f"{_SUMMARY} (SELECT length(plot) AS n FROM movies)",
         "l3_tfidf": _sql("SELECT doc_id, term, tf, round(tf * (ln(((SELECT count(*) FROM word) + 1) / (df + 1)) + 1), 6) AS w FROM tf JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) USING (term)", _WORDS, "tf AS MATERIALIZED (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM word) GROUP BY 1, 2)", base=False),
         "e2_mean_pool": _sql("SELECT doc_id, round(coalesce(a, 0), 6) AS mean_length, round(coalesce(b, 0), 6) AS mean_vowels, CAST(CASE WHEN a IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS one FROM documents LEFT JOIN (SELECT doc_id, avg(length(t)) AS a, avg(length(regexp_replace(t, '[^aeiou]', '', 'g'))) AS b FROM (SELECT doc_id, unnest(w) AS t FROM word) WHERE length(t) > 2 GROUP BY 1) USING (doc_id)", _WORDS, base=False),
-        "s1_labelled_union": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n, lower(lang[1:2]) AS decade FROM documents WHERE lower(lang[1:2]) IN ('de', 'en', 'es', 'fr')",
+        "s1_labelled_union": "SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n, lower(lang[1:2]) AS decade FROM documents WHERE lower(lang[1:2]) IN ('de', 'en', 'es', 'fr')",
         "s3_metadata_rows": "SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM doc_metadata",
         "rel_rename": "SELECT DISTINCT doc_id AS id, title AS name, decade AS period FROM doc_metadata",
         "rel_method_filter": f"SELECT DISTINCT run_id, top_k, round(recall_at_k, 6) AS recall_at_k FROM benchmark_runs WHERE {_METHOD} = 'FAISS-IVF'",
@@ -197,11 +197,11 @@ def oracle_sql() -> dict[str, str]:
         "a3_null_counts": f"SELECT *, {' + '.join(movie_columns)} AS total FROM (SELECT {nulls} FROM movies)",
         "a4_shape": "SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns FROM movies",
         "a5_means": "SELECT method, top_k, round(avg(recall_at_k), 6) AS mean_recall, round(avg(candidate_ratio), 6) AS mean_ratio, count(*) AS n FROM benchmark_runs GROUP BY 1, 2",
-        "u1_union": f"SELECT run_id, n_candidates AS probed, recall_at_k, NULL::INTEGER AS subvectors FROM benchmark_runs WHERE {_METHOD} = 'VQ' UNION ALL SELECT run_id, NULL, recall_at_k, dim FROM benchmark_runs WHERE {_METHOD} = 'PQ'",
+        "u1_union": f"SELECT run_id, CAST(n_candidates AS DOUBLE) AS probed, recall_at_k, NULL::DOUBLE AS subvectors FROM benchmark_runs WHERE {_METHOD} = 'VQ' UNION ALL SELECT run_id, NULL, recall_at_k, CAST(dim AS DOUBLE) FROM benchmark_runs WHERE {_METHOD} = 'PQ'",
         "o5_best_per_method": _sql("SELECT * FROM best", best, base=False),
         "j4_lookup": f"SELECT l.m, recall_at_k FROM (VALUES ('VQ'), ('PQ'), ('LSH'), ('FAISS-IVF'), ('FAISS-IVFPQ'), ('FAISS-LSH'), ('HNSW')) l(m) LEFT JOIN (SELECT {_METHOD} AS m, recall_at_k, row_number() OVER (PARTITION BY {_METHOD} ORDER BY run_id, logged_ts) AS r FROM benchmark_runs) b ON b.m = l.m AND r = 1",
         "b9_comparison": _sql("SELECT m, run_id, best.recall_at_k AS best_recall, round(max(n_docs) / max(n_candidates), 6) AS speedup FROM best JOIN benchmark_runs USING (run_id) GROUP BY 1, 2, 3", best, base=False),
         "j1_lookup_join": "SELECT qid AS doc_id, title FROM queries LEFT JOIN (SELECT doc_id, min(title) AS title FROM doc_metadata GROUP BY 1) m ON qid = doc_id",
         "u3_intersection": _sql("SELECT h.qid, CAST(count(t.doc_id) AS INTEGER) AS shared FROM half h LEFT JOIN truth t ON t.qid = h.qid AND t.doc_id = h.doc_id GROUP BY h.qid", _TRUTH, _HALF),
-        "z1_sample": f"SELECT vec_id, CAST(r AS BIGINT) AS draw, label FROM (VALUES {', '.join(f'({i}, {r})' for r, i in enumerate(sample_ids(500, 50)))}) d(vec_id, r) JOIN embeddings USING (vec_id)",
+        "z1_sample": f"SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(r AS INTEGER) AS draw, label FROM (VALUES {', '.join(f'({i}, {r})' for r, i in enumerate(sample_ids(500, 50)))}) d(vec_id, r) JOIN embeddings USING (vec_id)",
     }

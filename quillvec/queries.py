@@ -411,7 +411,7 @@ def l8_lsi_search(s, d):
 def s1_labelled_union(s, d):
     """The labelled parts of a table, each with its label as a literal, put together again."""
     docs = read_table(s, d, "documents")
-    parts = [docs.where(F.lower(F.substring("lang", 1, 2)) == x).select("doc_id", F.length("text").alias("n")).withColumn("decade", F.lit(x)) for x in ("de", "en", "es", "fr")]
+    parts = [docs.where(F.lower(F.substring("lang", 1, 2)) == x).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).withColumn("decade", F.lit(x)) for x in ("de", "en", "es", "fr")]
     return ex.union_by_name(*parts)
 
 
@@ -476,8 +476,8 @@ def a5_means(s, d):
 def u1_union(s, d):
     """Result tables of different columns by name."""
     runs = read_table(s, d, "benchmark_runs").withColumn("m", ex.method_name("method"))
-    vq = runs.where("m = 'VQ'").select("run_id", F.col("n_candidates").alias("probed"), "recall_at_k")
-    pq_ = runs.where("m = 'PQ'").select("run_id", F.col("dim").alias("subvectors"), "recall_at_k")
+    vq = runs.where("m = 'VQ'").select("run_id", F.col("n_candidates").cast("double").alias("probed"), "recall_at_k")
+    pq_ = runs.where("m = 'PQ'").select("run_id", F.col("dim").cast("double").alias("subvectors"), "recall_at_k")
     return ex.union_by_name(vq, pq_)
 
 
