@@ -28,9 +28,9 @@ SAMPLE_ROWS = 20_000
 #: Occupied cells that a query visits, unless the caller asks for more.
 PROBES = 32
 #: Vectors for which a shard is made, the most shards, and the vectors of a shard that one task holds.
-SHARD_ROWS = 8_000
+SHARD_ROWS = 16_000
 MAX_SHARDS = 2_000
-BLOCK_ROWS = 40_000
+BLOCK_ROWS = 64_000
 MAX_CENTROIDS = 1_024
 
 
