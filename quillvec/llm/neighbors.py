@@ -127,7 +127,7 @@ def _compare(x, cells_of, entries, entry_cell, k, least):
 
 def similar_vectors(
     df: DataFrame, id_col: str = "doc_id", vector_col: str = "doc_vectors", k: int = 10, dim: int = 64,
-    min_similarity: float | None = None, probes: int = PROBES, queries: DataFrame | None = None,
+    min_similarity: float | None = None, probes: int | float = PROBES, queries: DataFrame | None = None,
 ) -> DataFrame:
     """`id, other, rank INT, similarity DOUBLE`: the `k` vectors of greatest cosine similarity of every usable vector.
 
@@ -135,7 +135,8 @@ def similar_vectors(
     zero; its length doesn't matter. Other vectors have no rows and are no one's
     neighbour. Each id counts once (repeated rows are taken to be equal) and is
     not its own neighbour. Ties go by the smaller id. `min_similarity` leaves
-    out less similar ones. `queries` (with the same id column) limits whose
+    out less similar ones. `probes` is the number of occupied cells that a query
+    visits, or below 1 the share of them. `queries` (with the same id column) limits whose
     neighbours are sought; all rows stay in the index. Copies of one vector are
     indexed once, and their ids are put back in the end. `dim` must be even.
     The answer is approximate: neighbours outside the cells visited are missed.
@@ -160,6 +161,10 @@ def similar_vectors(
     sizes = units.select("v").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     index.fill(sizes["cell"].to_numpy(np.int64), sizes["n"].to_numpy(np.int64))
     shared.unpersist()
+    if probes < 1:
+        probes = max(PROBES, int(np.ceil(probes * np.count_nonzero(index.size))))
+    # without a limit every visit yields k rows, so fewer queries are answered at once
+    at_once = 4_000 if min_similarity is not None else 500
     held = spark.sparkContext.broadcast(index)
     everyone = queries is None
     asked = None if everyone else members.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
@@ -218,6 +223,11 @@ def similar_vectors(
                 a, b, sim = np.r_[a, b], np.r_[b, a], np.r_[sim, sim]
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim.astype(np.float64))], names=["node", "other", "similarity"])
 
+        def answers(rows_):
+            for s in range(0, rows_.num_rows, at_once):
+                part = rows_.slice(s, at_once)
+                yield answer(part, matrix(part.column(3), dim))
+
         def close():
             nonlocal entries, entry_cell, entry_node
             rows_ = pa.Table.from_batches(parts).combine_chunks()
@@ -229,9 +239,7 @@ def similar_vectors(
             entries = np.concatenate([matrix(b.column(3), dim) for b in held_rows])
             parts.clear()
             for b in held_rows:
-                for s in range(0, b.num_rows, 4_000):
-                    part = b.slice(s, 4_000)
-                    yield answer(part, matrix(part.column(3), dim))
+                yield from answers(b)
 
         for batch in batches:
             ids, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -250,7 +258,7 @@ def similar_vectors(
                     if parts:
                         yield from close()
                     if entries is not None:
-                        yield answer(part, matrix(part.column(3), dim))
+                        yield from answers(part)
         if parts:
             yield from close()
 
