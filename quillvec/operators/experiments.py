@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillvec.functions.vectors import dims as dims_prefix
+from quillvec.plans.lineage import cut
+
 
 def sample_ids(n: int, size: int, seed: int = 42) -> list[int]:
     """`size` of the ids 0 to n - 1 without replacement, as the seeded legacy generator draws them."""
@@ -28,6 +31,26 @@ def timed(build: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
     return df, time.perf_counter() - began
 
 
+def scaling(vectors: DataFrame, queries: DataFrame, method: str, build: Callable[[DataFrame, DataFrame], DataFrame], search: Callable[[DataFrame, DataFrame], DataFrame], sizes: list[int], dims: list[int]) -> DataFrame:
+    """`method, N, dim, build_time, query_time` over row prefixes and dimension prefixes.
+
+    `build(vectors, queries)` makes an index, which is written to the shared
+    folder, and `search(index, queries)` answers all queries from it; each is
+    timed as a whole, and the query time is divided by the number of queries.
+    """
+    spark, out, n = vectors.sparkSession, [], max(1, queries.count())
+    for size in sizes:
+        for d in dims:
+            part = vectors.where(F.col("doc_id") < size).select("doc_id", dims_prefix("v", d).alias("v"))
+            asked = queries.select("qid", dims_prefix("qv", d).alias("qv"))
+            began = time.perf_counter()
+            index = cut(build(part, asked), "index")
+            built = time.perf_counter() - began
+            _, searched = timed(lambda index=index, asked=asked: search(index, asked))
+            out.append((method, size, d, built, searched / n))
+    return spark.createDataFrame(out, "method string, N bigint, dim int, build_time double, query_time double")
+
+
 def clip(value: int, least: int, most: int) -> int:
     return int(min(max(value, least), most))
 

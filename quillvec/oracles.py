@@ -186,6 +186,8 @@ def oracle_sql() -> dict[str, str]:
         "e2_mean_pool": _sql("SELECT doc_id, round(coalesce(a, 0), 6) AS mean_length, round(coalesce(b, 0), 6) AS mean_vowels, CAST(CASE WHEN a IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS one FROM documents LEFT JOIN (SELECT doc_id, avg(length(t)) AS a, avg(length(regexp_replace(t, '[^aeiou]', '', 'g'))) AS b FROM (SELECT doc_id, unnest(w) AS t FROM word) WHERE length(t) > 2 GROUP BY 1) USING (doc_id)", _WORDS, base=False),
         "s1_labelled_union": "SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n, lower(lang[1:2]) AS decade FROM documents WHERE lower(lang[1:2]) IN ('de', 'en', 'es', 'fr')",
         "s3_metadata_rows": "SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM doc_metadata",
+        "s5_round_trip": _sql("SELECT d.doc_id, round(CAST(1 AS DOUBLE), 4) AS norm, title, decade FROM docs d LEFT JOIN (SELECT doc_id, min(title) AS title, min(decade) AS decade FROM doc_metadata GROUP BY 1) m ON m.doc_id = d.doc_id"),
+        "s7_result_csv": _sql("SELECT m AS method, run_id, 64 AS dim, recall_at_k FROM best", best, base=False),
         "rel_rename": "SELECT DISTINCT doc_id AS id, title AS name, decade AS period FROM doc_metadata",
         "rel_method_filter": f"SELECT DISTINCT run_id, top_k, round(recall_at_k, 6) AS recall_at_k FROM benchmark_runs WHERE {_METHOD} = 'FAISS-IVF'",
         "rel_title_search": " UNION ALL ".join(f"SELECT '{p}' AS pattern, min(doc_id) AS doc_id FROM movies WHERE regexp_matches(title, '(?i){p}') HAVING count(*) > 0" for p in ("ghost", "^the .*harbor", "ledger$")),

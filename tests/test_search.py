@@ -147,3 +147,16 @@ def test_tables_and_formulas(spark, docs, x):
     stats = lsh.table_statistics(keys).collect()
     assert len(stats) == 3 and all(abs(r.buckets * r.mean_size - 300) < 1e-3 for r in stats)
     assert lsh.parameter_grid(spark, 0.7, (5,), (10,)).first().recall == pytest.approx(1 - (1 - (1 - np.arccos(0.7) / np.pi) ** 5) ** 10, abs=1e-6)
+
+
+def test_scaling_runs(docs, queries):
+    from quillvec.operators import experiments as ex
+
+    def build(v, _):
+        return kmeans.assign(v, kmeans.lloyd(v, 4, 1)[0])
+
+    def search(index, asked):
+        return exact.knn(index.select("doc_id", "v"), asked, 3)
+
+    got = ex.scaling(docs, queries, "flat", build, search, [50, 300], [8]).collect()
+    assert [(r.N, r.dim) for r in got] == [(50, 8), (300, 8)] and all(r.build_time > 0 and r.query_time > 0 for r in got)
