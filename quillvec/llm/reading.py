@@ -26,6 +26,8 @@ NODES = 1 << 18
 #: Harmonic rounds, and the weight of each word's tie to the middle in texts.
 ROUNDS = 8
 TIE = 0.5
+#: Last rounds without clamps: else the rare words of graded texts keep their grades, and graded texts look further apart than others of their band.
+FREE_ROUNDS = 2
 #: Words of a stretch of text that is judged by itself, and the share of stretches that must be of a band for the text to be of it throughout.
 STRETCH = 20
 THROUGHOUT = 0.75
@@ -117,18 +119,18 @@ def reading_levels(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", t
     n_docs = max(1, graph.count())
     weights = np.log1p(n_docs / np.maximum(degrees, 1.0))
     value = np.full(NODES, 0.5)
-    for _ in range(rounds if clamp else 0):
-        held = spark.sparkContext.broadcast((weights, value))
+    for round_ in range(rounds if clamp else 0):
+        held = spark.sparkContext.broadcast((weights, value, round_ < rounds - FREE_ROUNDS))
 
         def step(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            w, v = held.value
+            w, v, clamped = held.value
             total = np.zeros(NODES)
             for batch in batches:
                 lists = batch.column(1)
                 at = lists.flatten().to_numpy()
                 of_text = _sums(w[at] * v[at], lists) / _sums(w[at], lists)
                 grade = batch.column(0).to_numpy(zero_copy_only=False)
-                of_text = np.where(np.isnan(grade), of_text, grade)
+                of_text = np.where(np.isnan(grade), of_text, grade) if clamped else of_text
                 total += np.bincount(at, weights=np.repeat(of_text, np.diff(lists.offsets.to_numpy())), minlength=NODES)
             yield _node_rows(total)
 
