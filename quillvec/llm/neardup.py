@@ -1,13 +1,12 @@
-"""Problem 4: records that repeat another record's text with small edits, by parity sketches.
-
-The distinct word sequences of a text are spread over the slots of a sketch, and
-each slot holds the exclusive or of the hashes that fall into it. A sequence
-that only one of two texts holds changes one slot, so the number of differing
-slots is a lower bound of the symmetric difference of the sets. A similarity of
-at least t bounds that difference by (1 - t) / (1 + t) of the summed sizes, so
-by the pigeonhole principle most slots of a pair within the limit agree. The
-number of slots goes by size band; texts are joined on slots that agree, the
-sketch of bits prunes the pairs, and the sets themselves decide.
+"""Problem 4: records that repeat another record's text with small edits, by an exact prefix filter.
+
+All distinct word sequences have one order: the seldom ones first, by hash, and
+then those that a sample shows to be frequent. A similarity of at least t takes
+an overlap of t / (1 + t) of the summed sizes, and at least t of either set, so
+two texts within the limit share a sequence among the first n - ceil(t n) + 1
+of the n of each. The order decides how many candidates there are, never which
+links are found. Texts are joined on those sequences, the sketch of bits prunes
+the pairs, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -25,19 +24,15 @@ from quillvec.plans.lineage import cut
 from .components import connected_components
 from .words import WordHashes, hashed, mix, sequences, words_of
 
-#: Slots of a sketch for each sequence of a text in the middle of its size band.
-SLOT_RATE = 0.4
-#: Texts shorter than this many sequences also join on slots that hold a single sequence.
-SHORT = 48
 #: Bits of the pruning sketch.
 SKETCH_BITS = 512
 #: Texts in the sample that finds frequent sequences, the share of texts that makes one frequent, and how many are named at most: the bound of the broadcast.
 SAMPLE_ROWS = 20_000
 FREQUENT_SHARE = 0.001
 FREQUENT_LIMIT = 100_000
-#: Share of frequent sequences from which a text is also joined on sketches of all its sequences.
-SATURATED = 0.4
-#: Rows before a row, in the order of size, with which it is paired within one slot value; beyond it the first row of that value stands for the rest.
+#: What bounds may be off by, always to the side of one candidate more.
+SLACK = 1e-6
+#: Rows before a row, in the order of size, with which it is paired within one key; beyond it the first row of that key stands for the rest.
 WINDOW = 100
 
 
@@ -61,43 +56,21 @@ def _text_sets(ids, titles, plots, words: int, min_words: int, cache: WordHashes
     return np.array(rows, np.int64), node, h, text, np.bincount(text, minlength=len(texts))
 
 
-def _slots(h: np.ndarray, text: np.ndarray, of: np.ndarray, slots: np.ndarray, salt: np.ndarray, least: np.ndarray):
-    """Values of the slots that hold at least `least` sequences: text number and 64-bit value, which binds slot number, band and content."""
-    x = mix(h)
-    where = (text << 24) | (x % slots[text].astype(np.uint64)).astype(np.int64)
-    order = np.argsort(where)
-    t, s, x = text[order], where[order] & ((1 << 24) - 1), mix(x[order])
-    if not len(t):
-        return t, x.astype(np.int64)
-    start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
-    value = np.bitwise_xor.reduceat(x, start)
-    n = np.diff(np.r_[start, len(t)])
-    t, s = t[start], s[start]
-    keep = n >= least[t]
-    t, s, value = t[keep], s[keep], value[keep]
-    return t, mix(value ^ mix(s.astype(np.uint64) * np.uint64(1024) + salt[t].astype(np.uint64))).astype(np.int64)
-
-
-def join_keys(h: np.ndarray, text: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, threshold: float):
-    """Text number and key of every slot a text is joined on, in its own size band and in those above that it may match."""
-    rare = ~np.isin(h, frequent, assume_unique=False) if len(frequent) else np.ones(len(h), bool)
-    left = np.bincount(text[rare], minlength=len(sizes))
-    saturated = left < (1 - SATURATED) * sizes
-    band = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
-    reach = int(np.ceil(np.log2(1 / threshold)))
-    ts, ks = [], []
-    for some, h2, text2, salt in ((None, h[rare], text[rare], 0), (saturated, h, text, 512)):
-        if some is not None:
-            in_some = some[text2]
-            h2, text2 = h2[in_some], text2[in_some]
-        for up in range(reach + 1):
-            b = band + up
-            slots = np.maximum(8, np.round(SLOT_RATE * 1.5 * 2.0**b)).astype(np.int64)
-            least = np.where(2.0**b < SHORT, 1, 2)
-            t, k = _slots(h2, text2, sizes, slots, b + salt, least)
-            ts.append(t)
-            ks.append(k)
-    return np.concatenate(ts), np.concatenate(ks)
+def join_keys(h: np.ndarray, text: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: float):
+    """Text number, sequence and place of the sequences each text is joined on: the first of its sequences in the common order, as many as a match can't do without.
+
+    `frequent` has sorted hashes and the rank of each, from 1. Sequences come sorted by text and hash.
+    """
+    known, rank = frequent
+    level = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        level = np.where(known[at] == h, rank[at], 0)
+    order = np.argsort((text << 20) | level, kind="stable")  # by hash within a level
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = (sizes - np.ceil(threshold * sizes - SLACK) + 1)[text]
+    keep = place < first
+    return text[keep], h[order][keep].astype(np.int64), place[keep]
 
 
 def _sketches(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
@@ -137,7 +110,7 @@ def _window_pairs(threshold: float, window: int):
                 out.append((node[hit], size[hit], node[hit + off], size[hit + off]))
             out.append((head_node[new:], head_size[new:], node[new:], size[new:]))
             a, sa, b, sb = (np.concatenate(x) for x in zip(*out, strict=True))
-            good = (a != b) & (np.minimum(sa, sb) >= threshold * np.maximum(sa, sb))
+            good = (a != b) & (np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - SLACK)
             pairs = np.unique(np.stack([np.minimum(a, b)[good], np.maximum(a, b)[good]], 1), axis=0)
             last = key[-window:] == key[-1]
             kept = [x[-window:][last] for x in (key, size, node, head_node, head_size)]
@@ -181,7 +154,7 @@ def near_duplicate_links(
         cache, seen = WordHashes(), set()
         for batch in batches:
             _, node, h, text, sizes = sets(batch, cache)
-            t, k = join_keys(h, text, sizes, shared.value, threshold)
+            t, k, _ = join_keys(h, text, sizes, shared.value, threshold)
             fresh = np.zeros(len(node), bool)  # equal texts of a task give their keys once
             for i, x in enumerate(node.tolist()):
                 if x not in seen:
@@ -190,9 +163,9 @@ def near_duplicate_links(
             t, k = t[fresh[t]], k[fresh[t]]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(sizes[t], pa.int32()), pa.array(node[t], pa.int64())], names=["key", "size", "node"])
 
-    slots = rows.mapInArrow(keys, "key bigint, size int, node bigint")
+    keyed = rows.mapInArrow(keys, "key bigint, size int, node bigint")
     candidates = (
-        slots.repartition("key").sortWithinPartitions("key", "size", "node")
+        keyed.repartition("key").sortWithinPartitions("key", "size", "node")
         .mapInArrow(_window_pairs(threshold, WINDOW), "a bigint, b bigint").distinct()
     )
     sketches = described.select("node", "size", "sketch").dropDuplicates(["node"])
@@ -225,11 +198,11 @@ def near_duplicate_links(
     return members, links
 
 
-def _frequent(rows: DataFrame, words: int, min_words: int) -> np.ndarray:
-    """Sequences that occur in many of the sampled texts; they make poor keys. The sample decides no result."""
+def _frequent(rows: DataFrame, words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences that occur in many of the sampled texts, sorted, and their ranks from the seldom to the frequent; they make poor keys. The sample decides no result."""
     n = rows.count()
     if n < 1_000:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sample = rows if n <= SAMPLE_ROWS else rows.sample(fraction=SAMPLE_ROWS / n, seed=29)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +217,9 @@ def _frequent(rows: DataFrame, words: int, min_words: int) -> np.ndarray:
         .where(F.col("n") >= max(3, int(FREQUENT_SHARE * min(n, SAMPLE_ROWS))))
         .orderBy(F.desc("n"), "h").limit(FREQUENT_LIMIT).select("h").toPandas()
     )
-    return np.sort(found["h"].to_numpy(np.int64)).astype(np.uint64)
+    h = found["h"].to_numpy(np.int64).astype(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(h) - np.arange(len(h)))[order]
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", title_col: str = "title", text_col: str = "plot", words: int = 5, threshold: float = 0.8, min_words: int = 20) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillvec.llm.components import connected_components
-from quillvec.llm.neardup import near_duplicate_groups
+from quillvec.llm.neardup import join_keys, near_duplicate_groups
 from quillvec.llm.words import words_of
 
 SCHEMA = "doc_id bigint, title string, plot string, node bigint, size int, key string"
@@ -87,3 +88,20 @@ def test_components_of_chain_star_and_loop(spark):
     want = {i: 0 for i in range(61)} | {100 + i: 100 for i in range(50)} | {200: 200, 201: 200}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_pairs_at_the_limit_share_a_key():
+    rng = np.random.default_rng(7)
+    stock = np.sort(rng.integers(1, 1 << 44, 300).astype(np.uint64))
+    frequent = stock, rng.permutation(300) + 1
+    missed = 0
+    for k in range(600):
+        small, more = (64, 80, 96)[k % 3], (0, 0, 32)[k % 5 % 3]
+        shared = -(-(2 * small + more) // 3)  # a third of the summed sizes: a similarity of 0.5
+        n_stock = int(0.4 * small) if k % 2 else small // 8
+        common = np.r_[rng.choice(stock, n_stock, replace=False), rng.integers(1, 1 << 44, shared - n_stock).astype(np.uint64)]
+        pair = [np.sort(np.r_[common, rng.integers(1, 1 << 44, n - shared).astype(np.uint64)]) for n in (small, small + more)]
+        sizes = np.array([len(x) for x in pair])
+        t, key, *_ = join_keys(np.concatenate(pair), np.repeat([0, 1], sizes), sizes, frequent, 0.5)
+        missed += not set(key[t == 0].tolist()) & set(key[t == 1].tolist())
+    assert missed == 0
