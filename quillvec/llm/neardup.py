@@ -32,8 +32,9 @@ FREQUENT_SHARE = 0.001
 FREQUENT_LIMIT = 100_000
 #: What bounds may be off by, always to the side of one candidate more.
 SLACK = 1e-6
-#: Rows before a row, in the order of size, with which it is paired within one key; beyond it the first row of that key stands for the rest.
-WINDOW = 100
+#: Pairs with rows kept from earlier batches that are looked at at once, and pairs that are held before they are passed on.
+BLOCK = 1_000_000
+PAIRS_HELD = 500_000
 
 
 def _text_sets(ids, titles, plots, words: int, min_words: int, cache: WordHashes):
@@ -84,37 +85,71 @@ def _binary(rows: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in rows]
 
 
-def _window_pairs(threshold: float, window: int):
-    """Pairs of texts that share a key, from rows (key, size, node) sorted by them."""
+def _key_pairs(threshold: float):
+    """All pairs of texts that share a key and may be within the limit, from rows (key, size, place, node) sorted by key, size and node.
+
+    From its first shared sequence on, a pair can't share more than either text
+    has left there; that must reach the least overlap for the two sizes.
+    """
+    share = threshold / (1 + threshold)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64) for _ in range(5)]  # key, size, node, and node and size of the first row of the key
+        kept = [np.zeros(0, np.int64) for _ in range(4)]  # of the last key, what later rows may still be paired with: key, size, left, node
+        last = None  # key and node of the row before
+        out: list[np.ndarray] = []
+
+        def found(a, b, size, left, node):
+            """The pairs of those rows that pass the bounds."""
+            need = np.ceil(share * (size[0][a] + size[1][b]) - SLACK)
+            good = (left[0][a] >= need) & (left[1][b] >= need) & (size[0][a] >= threshold * size[1][b] - SLACK)
+            x, y = node[0][a[good]], node[1][b[good]]
+            return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+        def passed_on() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, size, node = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            new = len(kept[0])
-            key, size, node = (np.concatenate([k, x]) for k, x in zip(kept[:3], (key, size, node), strict=True))
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            head = np.repeat(start, np.diff(np.r_[start, len(key)]))
-            head_node, head_size = node[head], size[head]
-            if new:  # the first rows go on with the key of the batch before
-                same = key == key[0]
-                head_node[same], head_size[same] = kept[3][0], kept[4][0]
-            out = []
-            for off in range(1, min(window, len(key) - 1) + 1):
-                hit = np.flatnonzero(key[off:] == key[:-off])
-                hit = hit[hit + off >= new]
-                if not len(hit):
-                    break
-                out.append((node[hit], size[hit], node[hit + off], size[hit + off]))
-            out.append((head_node[new:], head_size[new:], node[new:], size[new:]))
-            a, sa, b, sb = (np.concatenate(x) for x in zip(*out, strict=True))
-            good = (a != b) & (np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - SLACK)
-            pairs = np.unique(np.stack([np.minimum(a, b)[good], np.maximum(a, b)[good]], 1), axis=0)
-            last = key[-window:] == key[-1]
-            kept = [x[-window:][last] for x in (key, size, node, head_node, head_size)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            key, size, place, node = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            again = (key == np.r_[key[0] if last is None else last[0], key[:-1]]) & (node == np.r_[~node[0] if last is None else last[1], node[:-1]])
+            last = key[-1], node[-1]
+            key, size, left, node = (x[~again] for x in (key, size, size - place, node))  # equal texts of other tasks
+            if not len(key):
+                continue
+            held = 0
+            on = int(np.searchsorted(key != kept[0][0], True)) if len(kept[0]) else 0  # rows that go on with the kept key
+            step = max(1, BLOCK // max(1, len(kept[0])))
+            for s in range(0, on, step):
+                n = min(step, on - s)
+                a, b = np.repeat(np.arange(len(kept[0])), n), np.tile(np.arange(s, s + n), len(kept[0]))
+                out.append(found(a, b, (kept[1], size), (kept[2], left), (kept[3], node)))
+                held += len(out[-1])
+                if held > PAIRS_HELD:
+                    yield passed_on()
+                    held = 0
+            # the smaller of two texts needs most of itself left, whatever the size of the other
+            first = left >= np.ceil(share * 2 * size - SLACK)
+            a, off = np.flatnonzero(first), 1
+            while len(a):
+                a = a[a + off < len(key)]
+                a = a[(key[a + off] == key[a]) & (size[a] >= threshold * size[a + off] - SLACK)]
+                if len(a):
+                    out.append(found(a, a + off, (size, size), (left, left), (node, node)))
+                    held += len(out[-1])
+                    if held > PAIRS_HELD:
+                        yield passed_on()
+                        held = 0
+                off += 1
+            mine = (key == key[-1]) & first
+            if len(kept[0]) and kept[0][0] == key[-1]:
+                kept = [np.r_[k, x[mine]] for k, x in zip(kept, (key, size, left, node), strict=True)]
+            else:
+                kept = [x[mine] for x in (key, size, left, node)]
+            kept = [x[kept[1] >= threshold * size[-1] - SLACK] for x in kept]
+            yield passed_on()
 
     return pair
 
@@ -154,19 +189,19 @@ def near_duplicate_links(
         cache, seen = WordHashes(), set()
         for batch in batches:
             _, node, h, text, sizes = sets(batch, cache)
-            t, k, _ = join_keys(h, text, sizes, shared.value, threshold)
+            t, k, place = join_keys(h, text, sizes, shared.value, threshold)
             fresh = np.zeros(len(node), bool)  # equal texts of a task give their keys once
             for i, x in enumerate(node.tolist()):
                 if x not in seen:
                     seen.add(x)
                     fresh[i] = True
-            t, k = t[fresh[t]], k[fresh[t]]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(sizes[t], pa.int32()), pa.array(node[t], pa.int64())], names=["key", "size", "node"])
+            t, k, place = (x[fresh[t]] for x in (t, k, place))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(sizes[t], pa.int32()), pa.array(place, pa.int32()), pa.array(node[t], pa.int64())], names=["key", "size", "place", "node"])
 
-    keyed = rows.mapInArrow(keys, "key bigint, size int, node bigint")
+    keyed = rows.mapInArrow(keys, "key bigint, size int, place int, node bigint")
     candidates = (
         keyed.repartition("key").sortWithinPartitions("key", "size", "node")
-        .mapInArrow(_window_pairs(threshold, WINDOW), "a bigint, b bigint").distinct()
+        .mapInArrow(_key_pairs(threshold), "a bigint, b bigint").distinct()
     )
     sketches = described.select("node", "size", "sketch").dropDuplicates(["node"])
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))

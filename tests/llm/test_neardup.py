@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillvec.llm.components import connected_components
-from quillvec.llm.neardup import join_keys, near_duplicate_groups
+from quillvec.llm.neardup import _key_pairs, join_keys, near_duplicate_groups
 from quillvec.llm.words import words_of
 
 SCHEMA = "doc_id bigint, title string, plot string, node bigint, size int, key string"
@@ -105,3 +106,30 @@ def test_pairs_at_the_limit_share_a_key():
         t, key, *_ = join_keys(np.concatenate(pair), np.repeat([0, 1], sizes), sizes, frequent, 0.5)
         missed += not set(key[t == 0].tolist()) & set(key[t == 1].tolist())
     assert missed == 0
+
+
+def test_texts_of_a_hot_key_all_meet():
+    rng = np.random.default_rng(8)
+    rows = []
+    for key, n in ((5, 700), (6, 1), (7, 40), (9, 300)):
+        size = rng.integers(30, 90, n)
+        rows += [(key, int(s), int(rng.integers(0, s // 2 + 1)), 1000 * key + i) for i, s in enumerate(size)]
+    want = {
+        (x[3], y[3])
+        for i, x in enumerate(rows)
+        for y in rows[i + 1 :]
+        if x[0] == y[0] and 3 * min(x[1] - x[2], y[1] - y[2]) >= x[1] + y[1]
+    }
+    rows = sorted((r for r in rows for _ in range(3)), key=lambda r: (r[0], r[1], r[3]))
+    for width in (64, 1_000, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[s : s + width], strict=True)], names=["key", "size", "place", "node"]) for s in range(0, len(rows), width)]
+        got = {p for b in _key_pairs(0.5)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        assert got == want
+
+
+def test_neighbours_in_a_hot_key_far_apart(spark):
+    rng = random.Random(9)
+    stock = [text(rng, 12) for _ in range(6)]
+    rows = [(i, None, " ".join(rng.sample(stock, 3)) + " " + text(rng, 30 + i % 30)) for i in range(400)]
+    rows += [(1000 + i, None, edited(rng, rows[i][2], 0.06)) for i in range(0, 400, 7)]
+    assert grouped(spark, rows, 3, 0.5) == brute(rows, 3, 0.5)
