@@ -3,9 +3,10 @@
 All distinct word sequences have one order: the seldom ones first, by hash, and
 then those that a sample shows to be frequent. A similarity of at least t takes
 an overlap of t / (1 + t) of the summed sizes, and at least t of either set, so
-two texts within the limit share a sequence among the first n - ceil(t n) + 1
-of the n of each. The order decides how many candidates there are, never which
-links are found. Texts are joined on those sequences, the sketch of bits prunes
+two texts within the limit share at least m sequences among the first
+n - ceil(t n) + m of the n of each (all, if they share fewer). The order decides how many candidates there are, never which
+links are found. Texts are joined on those sequences, pairs that meet in m of
+them are candidates, the sketch of bits prunes
 the pairs, and the sets themselves decide.
 """
 
@@ -26,10 +27,12 @@ from .words import WordHashes, hashed, mix, sequences, words_of
 
 #: Bits of the pruning sketch.
 SKETCH_BITS = 512
-#: Texts in the sample that finds frequent sequences, the share of texts that makes one frequent, and how many are named at most: the bound of the broadcast.
+#: Texts in the sample that finds frequent sequences, the sampled texts that make one frequent, and how many are named at most: the bound of the broadcast.
 SAMPLE_ROWS = 20_000
-FREQUENT_SHARE = 0.001
-FREQUENT_LIMIT = 100_000
+FREQUENT_TEXTS = 2
+FREQUENT_LIMIT = 250_000
+#: Sequences in which a pair has to meet; chance meetings in one are many.
+MEETINGS = 2
 #: What bounds may be off by, always to the side of one candidate more.
 SLACK = 1e-6
 #: Pairs with rows kept from earlier batches that are looked at at once, and pairs that are held before they are passed on.
@@ -69,7 +72,7 @@ def join_keys(h: np.ndarray, text: np.ndarray, sizes: np.ndarray, frequent: tupl
         level = np.where(known[at] == h, rank[at], 0)
     order = np.argsort((text << 20) | level, kind="stable")  # by hash within a level
     place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = (sizes - np.ceil(threshold * sizes - SLACK) + 1)[text]
+    first = (sizes - np.ceil(threshold * sizes - SLACK) + MEETINGS)[text]
     keep = place < first
     return text[keep], h[order][keep].astype(np.int64), place[keep]
 
@@ -86,10 +89,11 @@ def _binary(rows: np.ndarray) -> list[bytes]:
 
 
 def _key_pairs(threshold: float):
-    """All pairs of texts that share a key and may be within the limit, from rows (key, size, place, node) sorted by key, size and node.
+    """All pairs of texts that share a key and may be within the limit, with the number of keys and the number that they have to meet in, from rows (key, size, place, node) sorted by key, size and node.
 
     From its first shared sequence on, a pair can't share more than either text
-    has left there; that must reach the least overlap for the two sizes.
+    has left there; that must reach the least overlap for the two sizes, and one
+    less for each shared sequence after the first.
     """
     share = threshold / (1 + threshold)
 
@@ -101,14 +105,18 @@ def _key_pairs(threshold: float):
         def found(a, b, size, left, node):
             """The pairs of those rows that pass the bounds."""
             need = np.ceil(share * (size[0][a] + size[1][b]) - SLACK)
-            good = (left[0][a] >= need) & (left[1][b] >= need) & (size[0][a] >= threshold * size[1][b] - SLACK)
+            good = (left[0][a] > need - MEETINGS) & (left[1][b] > need - MEETINGS) & (size[0][a] >= threshold * size[1][b] - SLACK)
             x, y = node[0][a[good]], node[1][b[good]]
-            return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+            return np.stack([np.minimum(x, y), np.maximum(x, y), np.minimum(need[good], MEETINGS).astype(np.int64)], 1)
 
         def passed_on() -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+            pairs = np.concatenate([np.zeros((0, 3), np.int64), *out])
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            start = np.flatnonzero(np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(1)][: len(pairs)])
+            met = np.diff(np.r_[start, len(pairs)])
+            a, b, least = pairs[start].T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(met, pa.int32()), pa.array(least, pa.int32())], names=["a", "b", "met", "least"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -131,7 +139,7 @@ def _key_pairs(threshold: float):
                     yield passed_on()
                     held = 0
             # the smaller of two texts needs most of itself left, whatever the size of the other
-            first = left >= np.ceil(share * 2 * size - SLACK)
+            first = left > np.ceil(share * 2 * size - SLACK) - MEETINGS
             a, off = np.flatnonzero(first), 1
             while len(a):
                 a = a[a + off < len(key)]
@@ -201,7 +209,8 @@ def near_duplicate_links(
     keyed = rows.mapInArrow(keys, "key bigint, size int, place int, node bigint")
     candidates = (
         keyed.repartition("key").sortWithinPartitions("key", "size", "node")
-        .mapInArrow(_key_pairs(threshold), "a bigint, b bigint").distinct()
+        .mapInArrow(_key_pairs(threshold), "a bigint, b bigint, met int, least int")
+        .groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     )
     sketches = described.select("node", "size", "sketch").dropDuplicates(["node"])
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -234,10 +243,8 @@ def near_duplicate_links(
 
 
 def _frequent(rows: DataFrame, words: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences that occur in many of the sampled texts, sorted, and their ranks from the seldom to the frequent; they make poor keys. The sample decides no result."""
+    """Sequences that occur in many of the sampled texts, sorted, and their ranks from the seldom to the frequent; they make poor keys. The rule is the same at every size, and the sample only sets the order, so it decides no result."""
     n = rows.count()
-    if n < 1_000:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sample = rows if n <= SAMPLE_ROWS else rows.sample(fraction=SAMPLE_ROWS / n, seed=29)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +256,7 @@ def _frequent(rows: DataFrame, words: int, min_words: int) -> tuple[np.ndarray,
 
     found = (
         sample.mapInArrow(hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= max(3, int(FREQUENT_SHARE * min(n, SAMPLE_ROWS))))
+        .where(F.col("n") >= FREQUENT_TEXTS)
         .orderBy(F.desc("n"), "h").limit(FREQUENT_LIMIT).select("h").toPandas()
     )
     h = found["h"].to_numpy(np.int64).astype(np.uint64)

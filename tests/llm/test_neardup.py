@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from quillvec.llm.components import connected_components
-from quillvec.llm.neardup import _key_pairs, join_keys, near_duplicate_groups
+from quillvec.llm.neardup import MEETINGS, _frequent, _key_pairs, join_keys, near_duplicate_groups
 from quillvec.llm.words import words_of
 
 SCHEMA = "doc_id bigint, title string, plot string, node bigint, size int, key string"
@@ -104,7 +104,7 @@ def test_pairs_at_the_limit_share_a_key():
         pair = [np.sort(np.r_[common, rng.integers(1, 1 << 44, n - shared).astype(np.uint64)]) for n in (small, small + more)]
         sizes = np.array([len(x) for x in pair])
         t, key, *_ = join_keys(np.concatenate(pair), np.repeat([0, 1], sizes), sizes, frequent, 0.5)
-        missed += not set(key[t == 0].tolist()) & set(key[t == 1].tolist())
+        missed += len(set(key[t == 0].tolist()) & set(key[t == 1].tolist())) < MEETINGS
     assert missed == 0
 
 
@@ -118,12 +118,12 @@ def test_texts_of_a_hot_key_all_meet():
         (x[3], y[3])
         for i, x in enumerate(rows)
         for y in rows[i + 1 :]
-        if x[0] == y[0] and 3 * min(x[1] - x[2], y[1] - y[2]) >= x[1] + y[1]
+        if x[0] == y[0] and 2 * min(x[1], y[1]) >= max(x[1], y[1]) and 3 * (min(x[1] - x[2], y[1] - y[2]) + MEETINGS - 1) >= x[1] + y[1]
     }
     rows = sorted((r for r in rows for _ in range(3)), key=lambda r: (r[0], r[1], r[3]))
     for width in (64, 1_000, 10_000):
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[s : s + width], strict=True)], names=["key", "size", "place", "node"]) for s in range(0, len(rows), width)]
-        got = {p for b in _key_pairs(0.5)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        got = {p for b in _key_pairs(0.5)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns[:2]), strict=True)}
         assert got == want
 
 
@@ -133,3 +133,13 @@ def test_neighbours_in_a_hot_key_far_apart(spark):
     rows = [(i, None, " ".join(rng.sample(stock, 3)) + " " + text(rng, 30 + i % 30)) for i in range(400)]
     rows += [(1000 + i, None, edited(rng, rows[i][2], 0.06)) for i in range(0, 400, 7)]
     assert grouped(spark, rows, 3, 0.5) == brute(rows, 3, 0.5)
+
+
+def test_one_rule_for_frequent_sequences(spark):
+    rng = random.Random(10)
+    stock = [text(rng, 10) for _ in range(8)]
+    rows = [(i, None, " ".join(rng.sample(stock, 2 + i % 5)) + " " + text(rng, 20 + i % 40)) for i in range(1_000)]
+    rows += [(5000 + i, None, edited(rng, rows[i][2], 0.06)) for i in range(0, 1_000, 9)]
+    df = spark.createDataFrame(rows, "id bigint, title string, text string")
+    assert len(_frequent(df.limit(900), 3, 20)[0]) and len(_frequent(df, 3, 20)[0])
+    assert grouped(spark, rows, 3, 0.5) == brute(rows, 3, 0.5)
