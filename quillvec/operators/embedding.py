@@ -62,6 +62,16 @@ def cosine_with_epsilon(a: Column | str, b: Column | str, epsilon: float = 1e-10
     return dot(a, b) / (norm(a) * norm(b) + F.lit(epsilon))
 
 
+#: Documents that are multiplied at once, and terms of one block of sums.
+DOCS_AT_ONCE = 200
+TERM_BLOCK = 64
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for s in range(0, batch.num_rows, DOCS_AT_ONCE):
+        yield batch.slice(s, DOCS_AT_ONCE)
+
+
 def _times(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
     """Sparse rows (columns 1 and 2: term numbers and weights, none empty) times `q`."""
     t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
@@ -73,12 +83,13 @@ def _times(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
 class LSI:
     """Truncated SVD of the document-term matrix; documents are scaled left vectors, queries are projected on terms.
 
-    The vocabulary is the `max_terms` most frequent terms (by documents, ties by
-    term), which bounds the matrix of term weights that the driver holds.
+    The vocabulary is every term, or the `max_terms` most frequent (by documents,
+    ties by term) if that is given. Driver and tasks hold `k` + 10 numbers of each
+    term.
     """
 
     k: int = 200
-    max_terms: int = 20_000
+    max_terms: int | None = None
     passes: int = 4
     terms: list[str] | None = None
     idf: np.ndarray | None = None
@@ -89,7 +100,8 @@ class LSI:
     def fit(self, tokens: DataFrame) -> LSI:
         """Subspace iteration from random directions: each pass over the documents multiplies them by both sides of the matrix."""
         weights = tfidf(tokens)
-        vocabulary = weights.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(self.max_terms).collect()
+        vocabulary = weights.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term")
+        vocabulary = (vocabulary if self.max_terms is None else vocabulary.limit(self.max_terms)).collect()
         self.terms = sorted(r.term for r in vocabulary)
         n, width = tokens.select("doc_id").distinct().count(), len(self.terms)
         if not width:
@@ -113,8 +125,8 @@ class LSI:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), to_lists(_times(batch, shared.value))], names=["doc_id", "v"])
+                for part in _parts(batch):
+                    yield pa.RecordBatch.from_arrays([part.column(0), to_lists(_times(part, shared.value))], names=["doc_id", "v"])
 
         found = rows.mapInArrow(place, "doc_id bigint, v array<double>")
         zero = F.array_repeat(F.lit(0.0), k)
@@ -129,19 +141,39 @@ class LSI:
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shared.value.shape)
             for batch in batches:
-                if batch.num_rows:
-                    y = _times(batch, shared.value)
-                    t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-                    doc = np.repeat(np.arange(len(y)), np.diff(batch.column(1).offsets.to_numpy()))
-                    for j in range(total.shape[1]):
-                        total[:, j] += np.bincount(t, weights=w * y[doc, j], minlength=len(total))
-            at = np.flatnonzero(total.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), to_lists(total[at])], names=["t", "x"])
-
-        parts = rows.mapInArrow(step, "t int, x array<double>").groupBy("t").agg(F.array(*[F.sum(F.col("x")[j]) for j in range(q.shape[1])]).alias("x")).collect()
+                for part in _parts(batch):
+                    y = _times(part, shared.value)
+                    t, w = part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+                    order = np.argsort(t, kind="stable")
+                    doc = np.repeat(np.arange(len(y)), np.diff(part.column(1).offsets.to_numpy()))[order]
+                    t, w = t[order], w[order]
+                    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+                    total[t[start]] += np.add.reduceat(y[doc] * w[:, None], start, axis=0)
+            for s in range(0, len(total), TERM_BLOCK):
+                block = total[s : s + TERM_BLOCK]
+                if block.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["t", "x"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, None
+            for batch in batches:
+                for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if s == at:
+                        held += np.frombuffer(x)
+                        continue
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["t", "x"])
+                    at, held = s, np.frombuffer(x).copy()
+            if at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["t", "x"])
+
+        # each task has sums of every term, so no more tasks than run at once
+        blocks = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(step, "t int, x binary").repartition("t").sortWithinPartitions("t").mapInArrow(added, "t int, x binary")
         out = np.zeros(q.shape)
-        for r in parts:
-            out[r.t] = r.x
+        table = blocks.toArrow()
+        for s, x in zip(table.column("t").to_pylist(), table.column("x").to_pylist(), strict=True):
+            block = np.frombuffer(x).reshape(-1, q.shape[1])
+            out[s : s + len(block)] = block
         shared.unpersist()
         return out
 

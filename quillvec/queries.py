@@ -403,7 +403,7 @@ def l8_lsi_search(s, d):
     """Nearest documents by latent semantic indexing of the stemmed-down movie tokens; there is no SQL."""
     movies = read_table(s, d, "movies").groupBy("doc_id").agg(F.first("tokens").alias("tokens"))
     movies = movies.select("doc_id", F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: F.length(F.trim(t)) > 0).alias("tokens"))
-    model = embedding.LSI(k=20, max_terms=2_000).fit(movies)
+    model = embedding.LSI(k=200).fit(movies)
     return model.search(["ghost", "harvest", "letter"], K)
 
 

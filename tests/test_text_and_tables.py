@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillvec import queries
 from quillvec.functions import text as tx
 from quillvec.functions.porter import stem
 from quillvec.operators import corpus, embedding
@@ -66,6 +67,18 @@ def test_lsi_singular_values(spark):
     assert model.search(["unknown"], 3).count() == 3
 
 
+def test_lsi_keeps_every_term(spark, monkeypatch):
+    rows = [(i, [f"t{(i * 7 + j) % 2_100}" for j in range(12)] + ["all"]) for i in range(2_100)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    model = embedding.LSI(k=4, passes=1).fit(tokens)
+    assert len(model.terms) == 2_101 and model.term_vectors.shape == (2_101, 4)
+    kept = []
+    monkeypatch.setattr(embedding.LSI, "fit", lambda self, tokens: kept.append((self.k, self.max_terms)) or model)
+    monkeypatch.setattr(queries, "read_table", lambda s, d, name: tokens)
+    queries.l8_lsi_search(spark, "")
+    assert kept == [(200, None)]
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 4)], "k string, v int")
     assert {r.k: r.n for r in corpus.value_counts(df, "k").collect()} == {"a": 2}
