@@ -81,6 +81,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_containers(spark, d).where("piece > 0").select("size_id", "doc_id").distinct()
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of every plan: whole texts, no container beyond its capacity, and few more containers than tokens ask for."""
+    held = p6_containers(spark, d)
+    texts = held.groupBy("size_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens")).groupBy("size_id").agg(F.count("*").alias("texts"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+    filled = held.groupBy("size_id", "capacity", "container").agg(F.sum("tokens").alias("n")).groupBy("size_id", "capacity").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"), F.count("*").alias("containers"))
+    few = F.col("containers") <= F.ceil(F.col("tokens") / F.col("capacity") * 1.01) + 1
+    return texts.join(filled, "size_id").select("size_id", "texts", "pieces", "tokens", "overfull", few.alias("few"))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
@@ -126,7 +135,7 @@ WITH item AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
+    return {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_containers": p6_containers, "p6_packed": p6_packed, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -135,6 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _GROUPS + "SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM reach WHERE a < b",
         "p4_groups": _GROUPS + "SELECT doc_id, least(doc_id, min(b)) AS group_id FROM (SELECT DISTINCT doc_id FROM movies WHERE doc_id IS NOT NULL) m LEFT JOIN reach ON a = doc_id GROUP BY doc_id",
         "p6_found": r"SELECT size_id, doc_id FROM documents, context_sizes WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{Z}]')) > capacity",
+        "p6_packed": r"SELECT size_id, count(*) AS texts, CAST(sum(greatest(1, ceil(n / capacity))) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull, true AS few FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{Z}]')) AS n FROM documents), context_sizes GROUP BY size_id",
         "p7_found": _LEAKS + "SELECT doc_id, item_id FROM met JOIN (SELECT item_id, count(*) AS runs FROM item_run GROUP BY 1) USING (item_id) WHERE n * 4 >= runs",
         "p3_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
     }
