@@ -94,6 +94,11 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the passage in each text that holds a quarter of it or more."""
+    return p7_leaks(spark, d).where("coverage >= 0.25").select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("coverage >= 0.25").select("doc_id", "item_id")
 
@@ -135,7 +140,7 @@ WITH item AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_containers": p6_containers, "p6_packed": p6_packed, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_levels": p8_levels}
+    return {"p1_found": p1_found, "p1_search": p1_search, "p2_found": p2_found, "p2_quality": p2_quality, "p3_found": p3_found, "p3_terms": p3_terms, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_containers": p6_containers, "p6_packed": p6_packed, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_coverage": p7_coverage, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -146,5 +151,6 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": r"SELECT size_id, doc_id FROM documents, context_sizes WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{Z}]')) > capacity",
         "p6_packed": r"SELECT size_id, count(*) AS texts, CAST(sum(greatest(1, ceil(n / capacity))) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull, true AS few FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{Z}]')) AS n FROM documents), context_sizes GROUP BY size_id",
         "p7_found": _LEAKS + "SELECT doc_id, item_id FROM met JOIN (SELECT item_id, count(*) AS runs FROM item_run GROUP BY 1) USING (item_id) WHERE n * 4 >= runs",
+        "p7_coverage": _LEAKS + "SELECT doc_id, item_id, round(n / runs, 6) AS coverage FROM met JOIN (SELECT item_id, count(*) AS runs FROM item_run GROUP BY 1) USING (item_id) WHERE n * 4 >= runs",
         "p3_terms": _TERMS + "SELECT term, occurrences, records, mark FROM marked",
     }
