@@ -6,7 +6,6 @@ and the query set is the table `queries`; texts are those of documents and movie
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +17,7 @@ from quillvec.functions import vectors as vx
 from quillvec.functions.ranking import topk
 from quillvec.operators import corpus, embedding, exact, ivf, kmeans, lsh, metrics, pq
 from quillvec.operators import experiments as ex
-from quillvec.plans.lineage import shared_folder
+from quillvec.plans.lineage import new_path, own
 from quillvec.sources import read_table
 from quillvec.sources.files import load_embeddings, read_results, save_embeddings, save_results, with_positions
 
@@ -420,18 +419,18 @@ def s1_labelled_union(s, d):
 def s5_round_trip(s, d):
     """Vectors and metadata written to the shared folder and read back; vectors are stored as 32-bit floats."""
     meta = read_table(s, d, "doc_metadata").groupBy("doc_id").agg(F.min("title").alias("title"), F.min("decade").alias("decade"))
-    folder = f"{shared_folder(s)}/embeddings-{uuid.uuid4().hex}"
-    save_embeddings(_vectors(s, d), meta, folder)
-    vectors, titles = load_embeddings(s, folder)
+    folder = new_path(s, "embeddings")
+    paths = save_embeddings(_vectors(s, d), meta, folder)
+    vectors, titles = map(own, load_embeddings(s, folder), paths)
     return vectors.join(titles, "doc_id", "left").select("doc_id", F.round(vx.norm("v"), 4).alias("norm"), "title", "decade")
 
 
 def s7_result_csv(s, d):
     """A result table written as CSV with a header and read back with its schema."""
     best = o5_best_per_method(s, d).select(F.col("m").alias("method"), F.col("run_id").alias("N"), F.lit(DIM).alias("dim"), F.col("recall_at_k").alias("build_time"), F.lit(0.0).alias("query_time"))
-    folder = f"{shared_folder(s)}/results-{uuid.uuid4().hex}"
+    folder = new_path(s, "results")
     save_results(best, folder)
-    return read_results(s, folder, "scaling").select("method", F.col("N").alias("run_id"), "dim", F.col("build_time").alias("recall_at_k"))
+    return own(read_results(s, folder, "scaling"), folder).select("method", F.col("N").alias("run_id"), "dim", F.col("build_time").alias("recall_at_k"))
 
 
 def s3_metadata_rows(s, d):
