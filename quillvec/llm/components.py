@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillvec.plans.lineage import read_cut, release, write_cut
+from quillvec.plans.lineage import own, read_cut, release, write_cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,5 +42,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == state:
             break
         state = now
+    edges = own(edges, path)
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from quillvec.llm.quality import Profiler, text_quality
+from quillvec.llm.quality import Profiler, known_words, text_quality
 from quillvec.llm.reading import reading_levels
 
 PROSE = [
@@ -78,3 +80,44 @@ def test_levels_of_held_out_texts(spark):
     ungraded = reading_levels(docs, graded.where("false")).collect()
     assert len(ungraded) == len(got) and all(r.band is None and r.difficulty is None for r in ungraded)
     assert reading_levels(docs.where("false"), graded).count() == 0
+
+
+LANGUAGES = {
+    "Polish": "Stary latarnik znajduje na strychu list od brata i wyrusza nad morze. W porcie spotyka kobietę, która zna prawdę o dawnym procesie, lecz boi się ją powiedzieć. Zimą oboje wracają do miasteczka, gdzie nikt nie chce pamiętać pożaru.",
+    "Russian": "Старый смотритель маяка находит на чердаке письмо брата и отправляется к морю. В порту он встречает женщину, которая знает правду о давнем суде, но боится её сказать. Зимой они вместе возвращаются в город, где никто не хочет вспоминать о пожаре.",
+    "Turkish": "Yaşlı fener bekçisi tavan arasında kardeşinin mektubunu bulur ve denize doğru yola çıkar. Limanda eski davanın gerçeğini bilen ama söylemekten korkan bir kadınla tanışır. Kışın birlikte kimsenin yangını hatırlamak istemediği kasabaya dönerler.",
+    "Japanese": "年老いた灯台守は屋根裏で弟からの手紙を見つけ、海へ向かう旅に出る。港で彼は、昔の裁判の真実を知りながら話すことを恐れている女性に出会う。冬になると二人は、誰も火事を思い出したがらない町へ一緒に帰る。",
+    "Portuguese": "O velho faroleiro encontra no sótão uma carta do irmão e parte para o mar. No porto conhece uma mulher que sabe a verdade sobre o antigo julgamento, mas tem medo de a dizer. No inverno os dois voltam à vila, onde ninguém quer lembrar o incêndio.",
+    "Swedish": "Den gamle fyrvaktaren hittar ett brev från sin bror på vinden och ger sig av mot havet. I hamnen möter han en kvinna som vet sanningen om den gamla rättegången men inte vågar berätta den.",
+    "Greek": "Ο γέρος φαροφύλακας βρίσκει στη σοφίτα ένα γράμμα του αδελφού του και ξεκινά για τη θάλασσα. Στο λιμάνι συναντά μια γυναίκα που ξέρει την αλήθεια για την παλιά δίκη αλλά φοβάται να την πει.",
+    "Korean": "늙은 등대지기는 다락방에서 동생의 편지를 발견하고 바다로 떠난다. 그는 항구에서 오래된 재판의 진실을 알지만 말하기를 두려워하는 여자를 만난다. 겨울이 되자 두 사람은 아무도 화재를 기억하고 싶어 하지 않는 마을로 돌아간다.",
+    "Arabic": "يجد حارس المنارة العجوز رسالة من أخيه في العلية ويرحل نحو البحر. في الميناء يلتقي بامرأة تعرف حقيقة المحاكمة القديمة لكنها تخاف أن تقولها. في الشتاء يعودان معا إلى البلدة التي لا يريد أحد فيها أن يتذكر الحريق.",
+}
+OTHERS = {
+    "list": "lantern, harbor, ledger, baker, old mill, quarry, widow, festival, strike, harvest, bargain, checkpoint, trophy, portrait, uniform",
+    "cast": "- Anna Lindqvist: Baker\n- Tom Reyes: Sailor\n- Mia Okafor: Judge\n- Lars Holm: Clerk\n- Ines Prado: Widow\n- Jon Vik: Pilot",
+    "table": "title\tyear\tgross\nFerry\t1984\t4428410\nQuarry\t1971\t2214556\nHarbor\t1989\t2384566\nLedger\t1999\t241519",
+    "markup": '<div class="a">boat</div><br/>[[ferry]]{{miner|smuggler}}<td>reservoir</td>&nbsp;[[violin]]<div>necklace</div>{{judge|boxer}}',
+    "letters": "bz jvlchmnw dcbwb zntpv zsdbbqp kvvkbl ns fgqjhhr hsz ftvns flbzc zrf nrstjl jvm mxn mnzkcgvx sstdcj bhfz zgcsqf nbh jgffk vbqg",
+    "codes": "b8738cff32c c4110ba3bb91030c9a2b945275ffc99 ff978cf98d1eafd7228 3e59bdf8f5055a2da0 23fc4afa 09500a88bcbe0ae14076228a0d",
+    "symbols": "*********** ~~~~~~~~ ########## ______ ------- ====== ++++++ ******* ~~~~~ ####### _____",
+    "repeated": "candle agent checkpoint scar pension waiter " * 12,
+}
+
+
+def test_prose_in_languages_that_no_table_lists(spark):
+    rows = [(i, t) for i, t in enumerate([*LANGUAGES.values(), *OTHERS.values()])]
+    got = {r.id: r for r in text_quality(spark.createDataFrame(rows, "doc_id bigint, plot string")).collect()}
+    for i, name in enumerate([*LANGUAGES, *OTHERS]):
+        assert (got[i].profile == "prose") == (name in LANGUAGES), (name, got[i])
+
+
+def test_words_of_a_collection(spark):
+    rng = random.Random(2)
+    nouns = ["harbor", "ledger", "baker", "quarry", "widow", "ferry"]
+    prose = [f"the {rng.choice(nouns)} of the {rng.choice(nouns)} is for the {rng.choice(nouns)} and the {rng.choice(nouns)}" for _ in range(300)]
+    lists = [", ".join(rng.choice(nouns) for _ in range(12)) for _ in range(60)]
+    known = known_words(spark.createDataFrame([(t,) for t in prose + lists], "text string"))
+    assert {w for w, function in known.items() if function} == {"the", "of", "is", "for", "and"} and set(known) >= set(nouns)
+    bare = " ".join(rng.choice(nouns) for _ in range(40))
+    assert [m["profile"] for m in Profiler(known).measure_all([prose[0], bare])] == ["prose", "list"]
