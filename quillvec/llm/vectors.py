@@ -84,7 +84,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
         label, count = d.argmin(1), np.zeros(k)
         np.add.at(count, label, 1)
         total = np.zeros_like(c)
-        np.add.at(total, label, x)
+        order = np.argsort(label, kind="stable")
+        some = np.flatnonzero(count)
+        total[some] = np.add.reduceat(x[order].astype(np.float64), (np.cumsum(count) - count)[some].astype(np.int64), axis=0)
         empty = np.flatnonzero(count == 0)
         count[empty] = 1
         total[empty] = x[np.argsort(-d.min(1), kind="stable")[: len(empty)]]

@@ -116,3 +116,25 @@ def test_themes_of_separate_clusters(spark):
     labels = spark.createDataFrame([(0, " Ghost"), (1, "GHOST "), (2, "war"), (500, "sea"), (99999, "none"), (3, None)], "doc_id bigint, theme string")
     names = {r.id: r.name for r in named_themes(themes, labels).collect()}
     assert names[10] == "ghost" and names[550] == "sea" and 1100 not in names
+
+
+def test_more_clusters_than_any_ceiling(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.standard_normal((120, 24))
+    label = np.repeat(np.arange(120), 50)
+    x = centers[label] + 0.05 * rng.standard_normal((len(label), 24))
+    themes = {r.id: r.theme for r in vector_themes(frame(spark, enumerate(x)), dim=24, dimensions=16).collect()}
+    pairs = {(int(a), themes[i]) for i, a in enumerate(label) if themes[i] is not None}
+    assert len({b for _, b in pairs}) == 120 and len(pairs) == 120
+    assert sum(t is None for t in themes.values()) < 0.01 * len(label)
+
+
+def test_small_clusters_that_the_sample_misses(spark, monkeypatch):
+    monkeypatch.setattr("quillvec.llm.themes.SAMPLE_ROWS", 400)
+    rng = np.random.default_rng(13)
+    centers = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    label = np.repeat(np.arange(24), [3000] * 4 + [40] * 20)
+    x = centers[label] + 0.06 * rng.standard_normal((len(label), 24))
+    themes = {r.id: r.theme for r in vector_themes(frame(spark, enumerate(x)), dim=24, dimensions=16).collect()}
+    pairs = {(int(a), themes[i]) for i, a in enumerate(label) if themes[i] is not None}
+    assert len({a for a, _ in pairs}) == 24 and len({b for _, b in pairs}) == 24
