@@ -3,9 +3,14 @@
 The two halves of a vector are quantised separately, so that two small codebooks
 make a fine grid of cells. A query visits cells in the order of the summed
 distances of its halves to the two centroids, which a heap yields pair by pair,
-and the vectors of the visited cells are compared exactly. Cells that lie close
-together form a shard, so that a vector travels to few tasks; a shard too large
-for one task is split into blocks that each of its queries visits.
+and the vectors of the visited cells are compared exactly. How many cells that
+takes is measured: the true neighbours of a bounded sample of queries say in which
+of their cells they lie.
+
+Cells that lie close together make a block of bounded size, so that a vector
+travels to few tasks; a larger cell is split. The queries of a block are split
+too, by their number as the sample foretells it: who asks is bounded like what is
+held.
 """
 
 from __future__ import annotations
@@ -25,13 +30,18 @@ from .vectors import kmeans, matrix, sample_matrix, squared_distances, unit_vect
 
 #: Vectors in the sample on which the codebooks are fitted; every vector is indexed.
 SAMPLE_ROWS = 20_000
-#: Occupied cells that a query visits, unless the caller asks for more.
+#: Occupied cells that a query visits at least; queries whose true neighbours say how many more it takes, and the factor put on that.
 PROBES = 32
-#: Vectors for which a shard is made, the most shards, and the vectors of a shard that one task holds.
-SHARD_ROWS = 16_000
-MAX_SHARDS = 2_000
-BLOCK_ROWS = 64_000
+CALIBRATION_QUERIES, LIMIT_QUERIES, MARGIN = 400, 2_000, 1.1
+#: Vectors that a block holds, queries that are answered together in one part of it (both foretold), and rows of one task.
+BLOCK_ROWS = 16_000
+ASK_ROWS = 32_000
+TASK_ROWS = 48_000
+#: Centroids of a half, and coarse centers that put cells in order.
 MAX_CENTROIDS = 1_024
+MAX_COARSE = 2_000
+#: Digits to which similarities are compared, so that equal ones are ties wherever they are computed.
+DIGITS = 6
 
 
 def visit_order(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndarray, size: np.ndarray, probes: int) -> list[int]:
@@ -52,18 +62,18 @@ def visit_order(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndar
 
 
 class MultiIndex:
-    """Codebooks of the two halves, the number of vectors in each cell, and the shard and blocks of each cell."""
+    """Codebooks of the two halves, the number of vectors in each cell, and the blocks of each cell."""
 
     def __init__(self, sample: np.ndarray, n: int, seed: int = 11):
         self.half = sample.shape[1] // 2
         k = int(np.clip(round(1.1 * n ** (1 / 3)), 1, min(MAX_CENTROIDS, max(1, len(sample)))))
         self.books = [kmeans(sample[:, : self.half], k, 8, seed), kmeans(sample[:, self.half :], k, 8, seed + 1)]
         self.width = len(self.books[1])
-        # cells go to the nearest of some coarse centers, so that those a query visits lie in few shards
-        coarse = kmeans(sample, int(np.clip(round(n / SHARD_ROWS), 1, MAX_SHARDS)), 8, seed)
+        # cells go to the nearest of some coarse centers, so that those a query visits lie in few blocks
+        coarse = kmeans(sample, int(np.clip(round(n / BLOCK_ROWS), 1, MAX_COARSE)), 8, seed)
         middle = np.hstack([np.repeat(self.books[0], self.width, 0), np.tile(self.books[1], (len(self.books[0]), 1))])
-        self.shard = np.concatenate([squared_distances(middle[i : i + 20_000], coarse).argmin(1) for i in range(0, len(middle), 20_000)])
-        self.size = np.zeros(len(self.shard), np.int64)
+        self.region = np.concatenate([squared_distances(middle[i : i + 20_000], coarse).argmin(1) for i in range(0, len(middle), 20_000)])
+        self.size = np.zeros(len(self.region), np.int64)
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared_distances(x[:, : self.half], self.books[0]), squared_distances(x[:, self.half :], self.books[1])
@@ -73,10 +83,25 @@ class MultiIndex:
         return a.argmin(1) * self.width + b.argmin(1)
 
     def fill(self, cell: np.ndarray, count: np.ndarray) -> None:
+        """Take in how many vectors each cell has, and cut the cells, in the order of their regions, into blocks."""
         self.size[cell] = count
-        held = np.bincount(self.shard, weights=self.size)
-        self.blocks = np.maximum(1, np.ceil(held / BLOCK_ROWS)).astype(np.int64)
-        self.first_block = np.cumsum(self.blocks) - self.blocks
+        order = np.argsort(self.region, kind="stable")
+        order = order[self.size[order] > 0]
+        self.block, self.pieces = np.full(len(self.size), -1), np.ones(len(self.size), np.int64)
+        block, held, region = -1, BLOCK_ROWS, -1
+        for c in order.tolist():
+            n, r = int(self.size[c]), int(self.region[c])
+            if n > BLOCK_ROWS:  # a cell that is blocks by itself
+                self.block[c], self.pieces[c] = block + 1, -(-n // BLOCK_ROWS)
+                block, held = block + int(self.pieces[c]), BLOCK_ROWS
+                continue
+            if held + n > BLOCK_ROWS or (r != region and held > BLOCK_ROWS // 2):
+                block, held = block + 1, 0
+            self.block[c], held, region = block, held + n, r
+        self.blocks = block + 1
+        self.held = np.bincount(self.block[order], weights=self.size[order] / self.pieces[order], minlength=self.blocks)
+        for c in np.flatnonzero(self.pieces > 1):
+            self.held[self.block[c] : self.block[c] + self.pieces[c]] = self.size[c] / self.pieces[c]
 
     def visits(self, x: np.ndarray, probes: int) -> list[list[int]]:
         size, out = self.size.tolist(), []
@@ -85,6 +110,38 @@ class MultiIndex:
             out.append(visit_order(a[i].tolist(), b[j].tolist(), i.tolist(), j.tolist(), size, probes))
         return out
 
+    def blocks_of(self, cells: list[int]) -> dict[int, list[int]]:
+        """The blocks of some cells, and the cells in each."""
+        out: dict[int, list[int]] = {}
+        for c in cells:
+            first = int(self.block[c])
+            for block in range(first, first + int(self.pieces[c])):
+                out.setdefault(block, []).append(c)
+        return out
+
+    def ranks(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many occupied cells a query visits up to one of its cells."""
+        occupied = self.size > 0
+        out = np.zeros(len(x), np.int64)
+        a, b = self.distances(x)
+        for q in range(len(x)):
+            apart = (a[q][:, None] + b[q][None, :]).ravel()
+            out[q] = np.count_nonzero(occupied & (apart <= apart[cell[q]] + 1e-12))
+        return out
+
+    def share_out(self, asked: np.ndarray) -> None:
+        """Parts of each block by the queries it will be asked, and the task of each part, the heaviest first to the lightest task."""
+        self.parts = np.maximum(1, np.ceil(asked / ASK_ROWS)).astype(np.int64)
+        self.first_part = np.cumsum(self.parts) - self.parts
+        load = np.repeat(self.held + asked / self.parts, self.parts)
+        self.tasks = int(np.clip(np.ceil(load.sum() / TASK_ROWS), 1, max(1, len(load))))
+        self.task = np.zeros(len(load), np.int64)
+        heap = [(0.0, t) for t in range(self.tasks)]
+        for p in np.argsort(-load, kind="stable").tolist():
+            weight, t = heapq.heappop(heap)
+            self.task[p] = t
+            heapq.heappush(heap, (weight + load[p], t))
+
 
 def _top(query: np.ndarray, other: np.ndarray, similarity: np.ndarray, k: int) -> np.ndarray:
     """Row numbers of the `k` most similar of each query, ties by the other's number."""
@@ -95,6 +152,13 @@ def _top(query: np.ndarray, other: np.ndarray, similarity: np.ndarray, k: int) -
     return order[rank < k]
 
 
+def _nearest(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the `k` greatest of each row, with all that tie with the last."""
+    if sim.shape[1] > k:
+        return np.nonzero(sim >= np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k][:, None])
+    return tuple(g.ravel() for g in np.indices(sim.shape))
+
+
 def _compare(x, cells_of, entries, entry_cell, k, least):
     """Each query against the vectors of its cells: query number, entry number, similarity."""
     lengths = np.array([len(c) for c in cells_of])
@@ -114,41 +178,84 @@ def _compare(x, cells_of, entries, entry_cell, k, least):
             sim = x[q] @ entries[lo:hi].T
             if least is not None:
                 i, j = np.nonzero(sim >= least)
-            elif hi - lo > 4 * k:
-                j = np.argpartition(-sim, k, axis=1)[:, : k + 1]
-                i, j = np.repeat(np.arange(len(q)), j.shape[1]), j.ravel()
+                found.append((q[i], j + lo, np.round(sim[i, j].astype(np.float64), DIGITS)))
             else:
-                i, j = (g.ravel() for g in np.indices(sim.shape))
-            found.append((q[i], j + lo, sim[i, j]))
+                sim = np.round(sim, DIGITS)
+                i, j = _nearest(sim, k + 1)  # the query itself may be one
+                found.append((q[i], j + lo, np.round(sim[i, j].astype(np.float64), DIGITS)))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
 
+def _probes_for(index: MultiIndex, nodes: DataFrame, asked: DataFrame, k: int, dim: int, least: float | None, recall: float) -> int:
+    """The occupied cells in which a sample of the queries has this share of its true neighbours, which a scan of all vectors finds."""
+    wanted = CALIBRATION_QUERIES if least is None else LIMIT_QUERIES
+    many = asked.count()
+    sample = asked if many <= wanted else asked.sample(fraction=wanted / many, seed=23)
+    rows = sample.select("node", "v").limit(2 * wanted).toArrow()
+    own = rows.column("node").to_numpy()
+    x = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float32).reshape(-1, dim)
+    if not len(x):
+        return PROBES
+    shared = nodes.sparkSession.sparkContext.broadcast((x, own, index))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, mine, ix = shared.value
+        for whole in batches:
+            for s in range(0, whole.num_rows, 4_000):
+                batch = whole.slice(s, 4_000)
+                y = matrix(batch.column(1), dim)
+                sim = q @ y.T
+                sim[mine[:, None] == batch.column(0).to_numpy()[None, :]] = -2
+                if least is not None:
+                    i, j = np.nonzero(sim >= least)
+                else:
+                    i, j = _nearest(sim, k)
+                top = _top(i, j, sim[i, j], k)
+                i, j = i[top], j[top]
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(ix.cells(y)[j] if len(j) else j, pa.int64()), pa.array(sim[i, j].astype(np.float64))], names=["q", "cell", "similarity"])
+
+    best = Window.partitionBy("q").orderBy(F.desc("similarity"), "cell")
+    found = nodes.select("node", "v").mapInArrow(scan, "q int, cell bigint, similarity double").withColumn("r", F.row_number().over(best)).where((F.col("r") <= k) & (F.col("similarity") > -1.5)).toPandas()
+    shared.unpersist()
+    if not len(found):
+        return PROBES
+    ranks = np.sort(index.ranks(x[found["q"].to_numpy(np.int64)], found["cell"].to_numpy(np.int64)))
+    return max(PROBES, int(np.ceil(MARGIN * ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))])))
+
+
 def similar_vectors(
     df: DataFrame, id_col: str = "doc_id", vector_col: str = "doc_vectors", k: int = 10, dim: int = 64,
-    min_similarity: float | None = None, probes: int | float = PROBES, queries: DataFrame | None = None,
+    min_similarity: float | None = None, probes: int | float | None = None, queries: DataFrame | None = None, recall: float = 0.95,
 ) -> DataFrame:
     """`id, other, rank INT, similarity DOUBLE`: the `k` vectors of greatest cosine similarity of every usable vector.
 
     Usable is a vector of `dim` components, none null, NaN or infinite, not all
     zero; its length doesn't matter. Other vectors have no rows and are no one's
     neighbour. Each id counts once (repeated rows are taken to be equal) and is
-    not its own neighbour. Ties go by the smaller id. `min_similarity` leaves
-    out less similar ones. `probes` is the number of occupied cells that a query
-    visits, or below 1 the share of them. `queries` (with the same id column) limits whose
-    neighbours are sought; all rows stay in the index. Copies of one vector are
-    indexed once, and their ids are put back in the end. `dim` must be even.
+    not its own neighbour. Similarities are rounded to six digits, and ties go by
+    the smaller id. `min_similarity` leaves out less similar ones. `queries`
+    (with the same id column) limits whose neighbours are sought; all rows stay
+    in the index. Copies of one vector are indexed once, and their ids are put
+    back in the end. `dim` must be even.
+
     The answer is approximate: neighbours outside the cells visited are missed.
+    `probes` is the number of occupied cells that a query visits, or below 1 the
+    share of them; without it so many are visited that a sample of the queries
+    finds the share `recall` of its true neighbours.
     An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     units = unit_vectors(df, id_col, vector_col, dim)
+    id_type = units.schema["id"].dataType.simpleString()
     members = cut(units.select("id", "node").distinct(), "members")
-    n = members.select("node").distinct().count()
+    # one row for each vector, under the least of its ids
+    nodes = cut(units.groupBy("node").agg(F.min("id").alias("key"), F.first("v").alias("v")), "nodes")
+    n = nodes.count()
     if not n:
         return members.select("id", F.col("id").alias("other"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity")).where("false")
-    index = MultiIndex(sample_matrix(units, n, SAMPLE_ROWS, dim, 5), n)
+    index = MultiIndex(sample_matrix(nodes, n, SAMPLE_ROWS, dim, 5), n)
     shared = spark.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,117 +265,121 @@ def similar_vectors(
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    sizes = units.select("v").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    sizes = nodes.select("v").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     index.fill(sizes["cell"].to_numpy(np.int64), sizes["n"].to_numpy(np.int64))
     shared.unpersist()
-    if probes < 1:
+    everyone = queries is None
+    asked = None if everyone else members.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+    rows = nodes.withColumn("asks", F.lit(True))
+    if not everyone:
+        asking = asked.select("node").distinct().withColumn("asks", F.lit(True))
+        rows = nodes.join(asking, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    who = rows.where("asks").select("node", "v")
+    if probes is None:
+        probes = _probes_for(index, nodes, who, k, dim, min_similarity, recall)
+    elif probes < 1:
         probes = max(PROBES, int(np.ceil(probes * np.count_nonzero(index.size))))
+    # how many queries each block will be asked, foretold by a sample; it decides where work is done, not what is found
+    askers = n if everyone else who.count()
+    foretold = sample_matrix(who, max(1, askers), 1_000, dim, 7)
+    asked_of = np.zeros(index.blocks)
+    for cells in index.visits(foretold, probes):
+        for block in index.blocks_of(cells):
+            asked_of[block] += askers / len(foretold)
+    index.share_out(asked_of)
     # without a limit every visit yields k rows, so fewer queries are answered at once
     at_once = 4_000 if min_similarity is not None else 500
     held = spark.sparkContext.broadcast(index)
-    everyone = queries is None
-    asked = None if everyone else members.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    rows = units.select("node", "v", F.lit(True).alias("asks"))
-    if not everyone:
-        rows = units.join(asked.select("node").distinct().withColumn("asks", F.lit(True)), "node", "left").select("node", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, seen = held.value, set()
+        """Each vector to all parts of the block that holds it, and each query to one part of every block it visits."""
+        ix = held.value
         for whole in batches:
             for start in range(0, whole.num_rows, 2_000):  # no rows, no rounds
                 batch = whole.slice(start, 2_000)
-                x = matrix(batch.column(1), dim)
-                node, asks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                fresh = np.zeros(len(node), bool)
-                for i, key in enumerate(node):
-                    if key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
+                x = matrix(batch.column(2), dim)
+                node = batch.column(0).to_numpy()
                 cell = ix.cells(x)
-                visited: list = [[] for _ in node]
-                wants = np.flatnonzero(fresh & np.array(asks, bool))
-                for i, cells in zip(wants, ix.visits(x[wants], probes), strict=True):
-                    visited[i] = cells
+                own = ix.block[cell] + node % ix.pieces[cell]
+                asks = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
+                visited = dict(zip(asks.tolist(), ix.visits(x[asks], probes), strict=True))
                 out: list[tuple] = []
-                for i in np.flatnonzero(fresh):
-                    by: dict[int, list[int]] = {}
-                    for c in visited[i]:
-                        by.setdefault(int(ix.shard[c]), []).append(c)
-                    home = int(ix.shard[cell[i]])
-                    own = int(ix.first_block[home]) + node[i] % int(ix.blocks[home])
-                    mine = by.get(home, [])
-                    out.append((own, int(cell[i]), i, mine))
-                    for shard, cells in by.items():
-                        for block in range(int(ix.first_block[shard]), int(ix.first_block[shard] + ix.blocks[shard])):
-                            if block != own:
-                                out.append((block, -1, i, cells))
-                block, at, i, cells = zip(*out, strict=True)
+                for i, key in enumerate(node.tolist()):
+                    by, home = ix.blocks_of(visited.get(i, ())), int(own[i])
+                    for p in range(int(ix.parts[home])):
+                        out.append((int(ix.first_part[home]) + p, int(cell[i]), i, by.get(home, []) if p == key % int(ix.parts[home]) else []))
+                    for block, cells in by.items():
+                        if block != home:
+                            out.append((int(ix.first_part[block]) + key % int(ix.parts[block]), -1, i, cells))
+                part, at, i, cells = zip(*out, strict=True)
                 picked = pa.array(i, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(at, pa.int32()), batch.column(0).take(picked), batch.column(1).take(picked), pa.array(cells, pa.list_(pa.int32()))], names=["block", "cell", "node", "v", "visits"])
+                task = ix.task[np.array(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(part, pa.int32()), pa.array(at, pa.int32()), *(batch.column(c).take(picked) for c in range(3)), pa.array(cells, pa.list_(pa.int32()))], names=["task", "part", "cell", "node", "key", "v", "visits"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block, those it holds (cell >= 0) first by cell; the others only ask."""
-        block, parts = None, []
-        entries = entry_cell = entry_node = None
+        """Rows come by part, those it holds (cell >= 0) first by cell; the others only ask."""
+        part, parts = None, []
+        entries = entry_cell = entry_node = entry_key = order = None
 
         def answer(batch, x):
-            node = batch.column(2).to_numpy(zero_copy_only=False)
-            q, e, sim = _compare(x, batch.column(4).to_pylist(), entries, entry_cell, k, min_similarity)
-            a, b = node[q], entry_node[e]
-            other = a != b
-            a, b, sim = a[other], b[other], sim[other]
-            best = _top(a, b, sim, k)
-            a, b, sim = a[best], b[best], sim[best]
+            node = batch.column(3).to_numpy()
+            q, e, sim = _compare(x, batch.column(6).to_pylist(), entries, entry_cell, k, min_similarity)
+            other = node[q] != entry_node[e]
+            q, e, sim = q[other], e[other], sim[other]
+            best = _top(node[q], order[e], sim, k)
+            q, e, sim = q[best], e[best], sim[best]
+            a, b, a_key, b_key = node[q], entry_node[e], batch.column(4).take(pa.array(q)), entry_key.take(pa.array(e))
             if everyone:  # what is found from one side serves the other too
                 a, b, sim = np.r_[a, b], np.r_[b, a], np.r_[sim, sim]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim.astype(np.float64))], names=["node", "other", "similarity"])
+                b_key = pa.concat_arrays([b_key, a_key])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), b_key, pa.array(sim)], names=["node", "other", "key", "similarity"])
 
         def answers(rows_):
-            for s in range(0, rows_.num_rows, at_once):
-                part = rows_.slice(s, at_once)
-                yield answer(part, matrix(part.column(3), dim))
+            asking = rows_.filter(pa.array(np.diff(rows_.column(6).offsets.to_numpy()) > 0))
+            for s in range(0, asking.num_rows, at_once):
+                some = asking.slice(s, at_once)
+                yield answer(some, matrix(some.column(5), dim))
 
         def close():
-            nonlocal entries, entry_cell, entry_node
-            rows_ = pa.Table.from_batches(parts).combine_chunks()
-            nodes = rows_.column("node").to_numpy()
-            _, first = np.unique(nodes, return_index=True)  # copies from several tasks
-            rows_ = rows_.take(pa.array(first)).sort_by([("cell", "ascending"), ("node", "ascending")]).combine_chunks()
+            nonlocal entries, entry_cell, entry_node, entry_key, order
+            rows_ = pa.Table.from_batches(parts).combine_chunks().sort_by([("cell", "ascending"), ("node", "ascending")]).combine_chunks()
             entry_cell, entry_node = rows_.column("cell").to_numpy(), rows_.column("node").to_numpy()
             held_rows = rows_.to_batches()
-            entries = np.concatenate([matrix(b.column(3), dim) for b in held_rows])
+            entry_key = pa.concat_arrays([b.column(4) for b in held_rows])
+            order = np.unique(np.array(entry_key.to_pylist()), return_inverse=True)[1]
+            entries = np.concatenate([matrix(b.column(5), dim) for b in held_rows])
             parts.clear()
             for b in held_rows:
                 yield from answers(b)
 
         for batch in batches:
-            ids, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, cell = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             if not len(ids):
                 continue
             edges = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | ((cell[1:] < 0) != (cell[:-1] < 0))])
             for s, e in zip(edges, np.r_[edges[1:], len(ids)], strict=True):
-                if ids[s] != block:
+                if ids[s] != part:
                     if parts:
                         yield from close()
-                    block, entries = ids[s], None
-                part = batch.slice(s, e - s)
+                    part, entries = ids[s], None
+                some = batch.slice(s, e - s)
                 if cell[s] >= 0:
-                    parts.append(part)
+                    parts.append(some)
                 else:
                     if parts:
                         yield from close()
                     if entries is not None:
-                        yield from answers(part)
+                        yield from answers(some)
         if parts:
             yield from close()
 
-    sent = rows.mapInArrow(send, "block int, cell int, node bigint, v binary, visits array<int>")
+    sent = rows.select("node", "key", "v", "asks").mapInArrow(send, f"task int, part int, cell int, node bigint, key {id_type}, v binary, visits array<int>")
     found = (
-        sent.repartition("block").sortWithinPartitions("block", F.desc("cell"))
-        .mapInArrow(search, "node bigint, other bigint, similarity double")
+        sent.repartitionById(index.tasks, F.col("task")).sortWithinPartitions("part", F.desc("cell"))
+        .mapInArrow(search, f"node bigint, other bigint, key {id_type}, similarity double")
     )
-    best = Window.partitionBy("node").orderBy(F.desc("similarity"), "other")
-    near = found.groupBy("node", "other").agg(F.max("similarity").alias("similarity")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    best = Window.partitionBy("node").orderBy(F.desc("similarity"), "key")
+    near = found.groupBy("node", "other").agg(F.max("similarity").alias("similarity"), F.min("key").alias("key")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r", "key")
     if not everyone:
         near = near.join(asked.select("node").distinct(), "node", "left_semi")
     # back to ids: of each vector's copies no one needs more than the first k + 1

@@ -21,14 +21,14 @@ from .themes import named_themes, theme_report, vector_themes
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    near = similar_vectors(read_table(spark, d, "doc_vectors_w2v"), k=10, min_similarity=0.88)
+    near = similar_vectors(read_table(spark, d, "doc_vectors_w2v"), k=10, min_similarity=0.88, recall=0.999)
     return near.select(F.least("id", "other").alias("doc_id_a"), F.greatest("id", "other").alias("doc_id_b")).distinct()
 
 
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of every movie whose id is divisible by 100, whatever their similarity, against all rows."""
     vectors = read_table(spark, d, "doc_vectors_w2v")
-    near = similar_vectors(vectors, k=10, probes=0.35, queries=vectors.where("doc_id % 100 = 0"))
+    near = similar_vectors(vectors, k=10, queries=vectors.where("doc_id % 100 = 0"))
     return near.select(F.col("id").alias("doc_id"), F.col("other").alias("near_id"), "rank", F.round("similarity", 6).alias("similarity"))
 
 
