@@ -34,9 +34,11 @@ SAMPLE_ROWS = 20_000
 PROBES = 32
 CALIBRATION_QUERIES, LIMIT_QUERIES, MARGIN = 400, 2_000, 1.1
 #: Vectors that a block holds, queries that are answered together in one part of it (both foretold), and rows of one task.
-BLOCK_ROWS = 16_000
-ASK_ROWS = 32_000
+BLOCK_ROWS = 32_000
+ASK_ROWS = 64_000
 TASK_ROWS = 48_000
+#: Vectors for which there is a coarse center.
+REGION_ROWS = 16_000
 #: Centroids of a half, and coarse centers that put cells in order.
 MAX_CENTROIDS = 1_024
 MAX_COARSE = 2_000
@@ -70,7 +72,7 @@ class MultiIndex:
         self.books = [kmeans(sample[:, : self.half], k, 8, seed), kmeans(sample[:, self.half :], k, 8, seed + 1)]
         self.width = len(self.books[1])
         # cells go to the nearest of some coarse centers, so that those a query visits lie in few blocks
-        coarse = kmeans(sample, int(np.clip(round(n / BLOCK_ROWS), 1, MAX_COARSE)), 8, seed)
+        coarse = kmeans(sample, int(np.clip(round(n / REGION_ROWS), 1, MAX_COARSE)), 8, seed)
         middle = np.hstack([np.repeat(self.books[0], self.width, 0), np.tile(self.books[1], (len(self.books[0]), 1))])
         self.region = np.concatenate([squared_distances(middle[i : i + 20_000], coarse).argmin(1) for i in range(0, len(middle), 20_000)])
         self.size = np.zeros(len(self.region), np.int64)
@@ -250,12 +252,10 @@ def similar_vectors(
     units = unit_vectors(df, id_col, vector_col, dim)
     id_type = units.schema["id"].dataType.simpleString()
     members = cut(units.select("id", "node").distinct(), "members")
-    # one row for each vector, under the least of its ids
-    nodes = cut(units.groupBy("node").agg(F.min("id").alias("key"), F.first("v").alias("v")), "nodes")
-    n = nodes.count()
+    n = members.select("node").distinct().count()
     if not n:
         return members.select("id", F.col("id").alias("other"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity")).where("false")
-    index = MultiIndex(sample_matrix(nodes, n, SAMPLE_ROWS, dim, 5), n)
+    index = MultiIndex(sample_matrix(units, n, SAMPLE_ROWS, dim, 5), n)
     shared = spark.sparkContext.broadcast(index)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,18 +265,18 @@ def similar_vectors(
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    sizes = nodes.select("v").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    sizes = units.select("v").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     index.fill(sizes["cell"].to_numpy(np.int64), sizes["n"].to_numpy(np.int64))
     shared.unpersist()
     everyone = queries is None
     asked = None if everyone else members.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    rows = nodes.withColumn("asks", F.lit(True))
+    rows = units.withColumn("asks", F.lit(True))
     if not everyone:
         asking = asked.select("node").distinct().withColumn("asks", F.lit(True))
-        rows = nodes.join(asking, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        rows = units.join(asking, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     who = rows.where("asks").select("node", "v")
     if probes is None:
-        probes = _probes_for(index, nodes, who, k, dim, min_similarity, recall)
+        probes = _probes_for(index, units, who, k, dim, min_similarity, recall)
     elif probes < 1:
         probes = max(PROBES, int(np.ceil(probes * np.count_nonzero(index.size))))
     # how many queries each block will be asked, foretold by a sample; it decides where work is done, not what is found
@@ -293,15 +293,26 @@ def similar_vectors(
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to all parts of the block that holds it, and each query to one part of every block it visits."""
-        ix = held.value
+        ix, least_key = held.value, {}
         for whole in batches:
             for start in range(0, whole.num_rows, 2_000):  # no rows, no rounds
                 batch = whole.slice(start, 2_000)
+                new, again = [], []
+                # of the copies of a vector in this task the first asks, and those of ever smaller ids are held
+                for i in np.lexsort((np.unique(np.array(batch.column(1).to_pylist()), return_inverse=True)[1], batch.column(0).to_numpy())).tolist():
+                    key, node = batch.column(1)[i].as_py(), batch.column(0)[i].as_py()
+                    if node not in least_key:
+                        new.append(i)
+                        least_key[node] = key
+                    elif key < least_key[node]:
+                        again.append(i)
+                        least_key[node] = key
+                batch = batch.take(pa.array(new + again, pa.int64()))
                 x = matrix(batch.column(2), dim)
                 node = batch.column(0).to_numpy()
                 cell = ix.cells(x)
                 own = ix.block[cell] + node % ix.pieces[cell]
-                asks = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
+                asks = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False)[: len(new)])
                 visited = dict(zip(asks.tolist(), ix.visits(x[asks], probes), strict=True))
                 out: list[tuple] = []
                 for i, key in enumerate(node.tolist()):
@@ -319,20 +330,19 @@ def similar_vectors(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by part, those it holds (cell >= 0) first by cell; the others only ask."""
         part, parts = None, []
-        entries = entry_cell = entry_node = entry_key = order = None
+        entries = entry_cell = entry_node = order = None
 
         def answer(batch, x):
             node = batch.column(3).to_numpy()
             q, e, sim = _compare(x, batch.column(6).to_pylist(), entries, entry_cell, k, min_similarity)
             other = node[q] != entry_node[e]
             q, e, sim = q[other], e[other], sim[other]
-            best = _top(node[q], order[e], sim, k)
+            best = _top(q, order[e], sim, k)
             q, e, sim = q[best], e[best], sim[best]
-            a, b, a_key, b_key = node[q], entry_node[e], batch.column(4).take(pa.array(q)), entry_key.take(pa.array(e))
+            a, b = node[q], entry_node[e]
             if everyone:  # what is found from one side serves the other too
                 a, b, sim = np.r_[a, b], np.r_[b, a], np.r_[sim, sim]
-                b_key = pa.concat_arrays([b_key, a_key])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), b_key, pa.array(sim)], names=["node", "other", "key", "similarity"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], names=["node", "other", "similarity"])
 
         def answers(rows_):
             asking = rows_.filter(pa.array(np.diff(rows_.column(6).offsets.to_numpy()) > 0))
@@ -341,15 +351,18 @@ def similar_vectors(
                 yield answer(some, matrix(some.column(5), dim))
 
         def close():
-            nonlocal entries, entry_cell, entry_node, entry_key, order
-            rows_ = pa.Table.from_batches(parts).combine_chunks().sort_by([("cell", "ascending"), ("node", "ascending")]).combine_chunks()
+            nonlocal entries, entry_cell, entry_node, order
+            # of copies the one of the least id is compared; whoever asks, asks once for each task that read it
+            asking = [b.filter(pa.array(np.diff(b.column(6).offsets.to_numpy()) > 0)) for b in parts]
+            rows_ = pa.Table.from_batches(parts).sort_by([("cell", "ascending"), ("node", "ascending"), ("key", "ascending")]).combine_chunks()
+            nodes = rows_.column("node").to_numpy()
+            rows_ = rows_.filter(pa.array(np.r_[True, nodes[1:] != nodes[:-1]])).combine_chunks()
             entry_cell, entry_node = rows_.column("cell").to_numpy(), rows_.column("node").to_numpy()
             held_rows = rows_.to_batches()
-            entry_key = pa.concat_arrays([b.column(4) for b in held_rows])
-            order = np.unique(np.array(entry_key.to_pylist()), return_inverse=True)[1]
+            order = np.unique(np.array(rows_.column("key").to_pylist()), return_inverse=True)[1]
             entries = np.concatenate([matrix(b.column(5), dim) for b in held_rows])
             parts.clear()
-            for b in held_rows:
+            for b in asking:
                 yield from answers(b)
 
         for batch in batches:
@@ -373,13 +386,14 @@ def similar_vectors(
         if parts:
             yield from close()
 
-    sent = rows.select("node", "key", "v", "asks").mapInArrow(send, f"task int, part int, cell int, node bigint, key {id_type}, v binary, visits array<int>")
+    sent = rows.select("node", F.col("id").alias("key"), "v", "asks").mapInArrow(send, f"task int, part int, cell int, node bigint, key {id_type}, v binary, visits array<int>")
     found = (
         sent.repartitionById(index.tasks, F.col("task")).sortWithinPartitions("part", F.desc("cell"))
-        .mapInArrow(search, f"node bigint, other bigint, key {id_type}, similarity double")
+        .mapInArrow(search, "node bigint, other bigint, similarity double")
     )
-    best = Window.partitionBy("node").orderBy(F.desc("similarity"), "key")
-    near = found.groupBy("node", "other").agg(F.max("similarity").alias("similarity"), F.min("key").alias("key")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r", "key")
+    # ties with the last stay until ids settle them
+    best = Window.partitionBy("node").orderBy(F.desc("similarity"))
+    near = found.groupBy("node", "other").agg(F.max("similarity").alias("similarity")).withColumn("r", F.rank().over(best)).where(F.col("r") <= k).drop("r")
     if not everyone:
         near = near.join(asked.select("node").distinct(), "node", "left_semi")
     # back to ids: of each vector's copies no one needs more than the first k + 1

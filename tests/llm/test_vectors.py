@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillvec.llm.neighbors import similar_vectors, visit_order
+from quillvec.llm.neighbors import MultiIndex, similar_vectors, visit_order
 from quillvec.llm.themes import named_themes, theme_report, vector_themes
 
 SCHEMA = "doc_id bigint, doc_vectors array<float>, node string, cell int, v int"
@@ -138,3 +138,47 @@ def test_small_clusters_that_the_sample_misses(spark, monkeypatch):
     themes = {r.id: r.theme for r in vector_themes(frame(spark, enumerate(x)), dim=24, dimensions=16).collect()}
     pairs = {(int(a), themes[i]) for i, a in enumerate(label) if themes[i] is not None}
     assert len({a for a, _ in pairs}) == 24 and len({b for _, b in pairs}) == 24
+
+
+def test_ties_go_by_the_least_id(spark):
+    rng = np.random.default_rng(21)
+    # axis vectors: all pairs have similarity 0, so every neighbour is a tie, and each vector has copies
+    rows = [(1000 - 3 * j - c, np.eye(16)[j]) for j in range(16) for c in range(3)]
+    rng.shuffle(rows)
+    got = search(spark, rows, k=4, probes=300)
+    want = brute(rows, 4)
+    assert {i: [o for o, _ in v] for i, v in got.items()} == {i: [o for o, _ in v] for i, v in want.items()}
+
+
+def test_visits_follow_the_recall(spark):
+    rng = np.random.default_rng(22)
+    rows = list(enumerate(rng.standard_normal((1500, 16))))
+    got, want = search(spark, rows, k=5), brute(rows, 5)
+    recall = np.mean([len({o for o, _ in got.get(i, [])} & {o for o, _ in want[i]}) / 5 for i in want])
+    assert recall >= 0.9
+
+
+def test_blocks_and_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr("quillvec.llm.neighbors.BLOCK_ROWS", 40)
+    monkeypatch.setattr("quillvec.llm.neighbors.ASK_ROWS", 50)
+    rng = np.random.default_rng(23)
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    x[:200] = x[0] + 1e-3 * rng.standard_normal((200, 8))
+    index = MultiIndex(x, len(x))
+    cell, n = np.unique(index.cells(x), return_counts=True)
+    index.fill(cell, n)
+    assert index.held.max() <= 40 and abs(index.held.sum() - 600) < 1e-6 and (index.block[cell] >= 0).all()
+    assert {b for c in cell for b in index.blocks_of([c])} == set(range(index.blocks))
+    index.share_out(np.full(index.blocks, 180.0))
+    assert (index.parts == 4).all() and len(index.task) == 4 * index.blocks and index.task.max() < index.tasks
+
+
+def test_split_blocks_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    x = clustered(rng, 400, 16, 5)
+    rows = list(enumerate(np.vstack([np.repeat(x[:1], 60, 0), x])))
+    want = search(spark, rows, k=4, probes=400)
+    for name, value in (("BLOCK_ROWS", 30), ("ASK_ROWS", 100), ("TASK_ROWS", 200)):
+        monkeypatch.setattr(f"quillvec.llm.neighbors.{name}", value)
+    got = search(spark, rows, k=4, probes=400)
+    assert {i: [o for o, _ in v] for i, v in got.items()} == {i: [o for o, _ in v] for i, v in want.items()}
