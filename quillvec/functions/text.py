@@ -5,12 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .porter import stem
 
@@ -39,18 +37,18 @@ def without_stop_words(tokens: str | Column) -> Column:
     return F.filter(_col(tokens), lambda t: ~t.isin(STOP_WORDS))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _treebank(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import re
-
-    splits = re.compile(r"[^\W_]+(?:-[^\W_]+)*(?='(?:s|m|d|ll|re|ve)\b)|'(?:s|m|d|ll|re|ve)\b|[^\W_]+?(?=n't\b)|n't\b|[^\W_]+(?:-[^\W_]+)*|\S")
-    for batch in texts:
-        yield batch.map(lambda t: [w for w in splits.findall(t.lower()) if re.fullmatch("[a-z0-9]+", w)] if t else [])
+_L = r"[\p{L}\p{N}]"
+_END = r"(?![\p{L}\p{N}_])"
+#: Words with their hyphens up to a clitic, clitics, what comes before n't, n't, other words, other characters.
+_WORD_TOKENS = (
+    rf"{_L}+(?:-{_L}+)*(?='(?:s|m|d|ll|re|ve){_END})|'(?:s|m|d|ll|re|ve){_END}|{_L}+?(?=n't{_END})|n't{_END}|{_L}+(?:-{_L}+)*|[^\s\p{{Z}}]"
+)
 
 
 def word_tokens(text: str | Column) -> Column:
     """Words as a word tokenizer gives them: contractions fall apart (do + n't), hyphenated words stay whole; only tokens of a-z and 0-9 stay."""
-    return _treebank(_col(text))
+    tokens = F.regexp_extract_all(F.lower(_col(text)), F.lit(_WORD_TOKENS), F.lit(0))
+    return F.coalesce(F.filter(tokens, lambda t: t.rlike("^[a-z0-9]+$")), F.array().cast("array<string>"))
 
 
 def concat_with_nulls(*columns: str | Column) -> Column:

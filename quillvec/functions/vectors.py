@@ -61,9 +61,10 @@ def dims(v: str | Column, d: int) -> Column:
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     """`doc_id, v ARRAY<DOUBLE>`: one row for each id whose vector has `dim` components, none null or NaN, not all zero."""
-    v = as_doubles(vector_col)
+    v = _col(vector_col)
     good = (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
-    return df.where(good).groupBy(F.col(id_col).alias("doc_id")).agg(F.first(v).alias("v"))
+    # repeats go while the vectors are as narrow as they are stored
+    return df.where(good).groupBy(F.col(id_col).alias("doc_id")).agg(F.first(v).alias("v")).select("doc_id", as_doubles("v").alias("v"))
 
 
 def usable_unit_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:

@@ -5,11 +5,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Rows of a side that is held by every task: queries, centroids, hyperplanes. Larger query sets run in blocks of it.
+#: Rows of a side that is held by every task: queries, centroids, hyperplanes. A larger table is refused.
 MAX_HELD_ROWS = 10_000
 
 
+#: Rows of a table that is broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `most` rows, which are counted; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def to_matrix(column: pa.ListArray) -> np.ndarray:
     """Lists of equal length as rows of doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

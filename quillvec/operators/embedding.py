@@ -17,10 +17,20 @@ from quillvec.plans.lineage import cut
 from .arrow import to_lists
 
 
-def train_word2vec(tokens: DataFrame, size: int = 200, window: int = 5, min_count: int = 5, seed: int = 42, iterations: int = 1, partitions: int = 1):
-    """MLlib's skip-gram model over `tokens(doc_id, tokens)`; one partition makes it repeatable."""
+#: Rows that one partition trains on.
+TRAINING_ROWS = 50_000
+
+
+def train_word2vec(tokens: DataFrame, size: int = 200, window: int = 5, min_count: int = 5, seed: int = 42, iterations: int = 1, partitions: int | None = None):
+    """MLlib's skip-gram model over `tokens(doc_id, tokens)`.
+
+    A table of up to TRAINING_ROWS rows is trained in one partition, which makes
+    the model repeatable; a larger one in so many that each has about that many.
+    """
     from pyspark.ml.feature import Word2Vec
 
+    if partitions is None:
+        partitions = max(1, -(-tokens.count() // TRAINING_ROWS))
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=partitions, maxIter=iterations, inputCol="tokens", outputCol="v")
     return model.fit(tokens.select("tokens"))
 
@@ -56,6 +66,14 @@ def tfidf(tokens: DataFrame) -> DataFrame:
     return tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", "tf", F.round(w, 6).alias("w"))
 
 
+def nearest_words(model, words: DataFrame, k: int = 3) -> DataFrame:
+    """`word, rank, near, similarity`: the nearest other words of each of `words(word)`, a small table, by the model's vectors."""
+    vectors = word_vectors(model)
+    asked = vectors.join(F.broadcast(words), "word").select(F.col("word").alias("asked"), F.col("wv").alias("av"))
+    scored = vectors.join(F.broadcast(asked), F.col("word") != F.col("asked")).select("asked", "word", F.round(cosine_with_epsilon("wv", "av"), 6).alias("similarity"))
+    return topk(scored, "asked", [F.desc("similarity"), "word"], k).select(F.col("asked").alias("word"), "rank", F.col("word").alias("near"), "similarity")
+
+
 def cosine_with_epsilon(a: Column | str, b: Column | str, epsilon: float = 1e-10) -> Column:
     from quillvec.functions.vectors import dot
 
@@ -192,5 +210,6 @@ class LSI:
         """`rank, doc_id, score` by cosine; the projection is scaled as the documents are."""
         q = self.transform_query(tokens) * self.sigma
         literal = F.array(*[F.lit(float(x)) for x in q])
-        scored = self.doc_vectors.select("doc_id", F.round(cosine_with_epsilon(as_doubles("v"), literal), 6).alias("score"), F.lit(0).alias("one"))
-        return topk(scored, "one", [F.desc("score"), "doc_id"], k).select("rank", "doc_id", "score")
+        scored = self.doc_vectors.select("doc_id", F.round(cosine_with_epsilon(as_doubles("v"), literal), 6).alias("score"))
+        best = scored.orderBy(F.desc("score"), "doc_id").limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "score"))).alias("best"))  # k rows
+        return best.select(F.posexplode("best").alias("at", "b")).select((F.col("at") + 1).alias("rank"), "b.doc_id", "b.score")

@@ -19,6 +19,12 @@ def sample_ids(n: int, size: int, seed: int = 42) -> list[int]:
     return [int(i) for i in np.random.RandomState(seed).choice(n, size, replace=False)]
 
 
+def sample_stream(n: int, sizes: list[int], seed: int = 42) -> list[list[int]]:
+    """Several samples without replacement, one after the other from the same stream, as later experiments draw theirs after the first."""
+    stream = np.random.RandomState(seed)
+    return [[int(i) for i in stream.choice(n, min(size, n), replace=False)] for size in sizes]
+
+
 def sampled_queries(vectors: DataFrame, ids: list[int]) -> DataFrame:
     return vectors.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").alias("qid"), F.col("v").alias("qv"))
 
@@ -60,6 +66,11 @@ def lsh_bits(dim: int, bands: int = 16) -> int:
     return clip(2 * dim // bands * bands, bands, 256)
 
 
+def pq_parts(dim: int, width: int = 50) -> int:
+    """Subvectors for a dimension: one for each `width` components, at least two."""
+    return max(2, dim // width)
+
+
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """All rows; a column that a frame lacks is null."""
     out = frames[0]

@@ -18,15 +18,30 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.round(l2sq_matrix(x, centers), 9).argmin(1)
 
 
-def lloyd(docs: DataFrame, k: int, rounds: int, subspaces: int = 1) -> list[np.ndarray]:
+def _sums(x: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+    """Rows and summed rows of each label: k x (1 + dimension)."""
+    out = np.zeros((k, 1 + x.shape[1]))
+    if len(x):
+        order = np.argsort(label, kind="stable")
+        count = np.bincount(label, minlength=k)
+        some = np.flatnonzero(count)
+        out[:, 0] = count
+        out[some, 1:] = np.add.reduceat(x[order], (np.cumsum(count) - count)[some], axis=0)
+    return out
+
+
+def lloyd(docs: DataFrame, k: int, rounds: int, subspaces: int = 1, stored: bool = False) -> list[np.ndarray]:
     """Centroids of each of `subspaces` equal slices of `docs(doc_id, v)`, from the `k` least ids, after `rounds` rounds.
 
     The result doesn't depend on partitioning (but for the last bits of sums). A
     centroid that loses all its rows is dropped, and the others keep their
     numbers, so that rows of a dropped one are NaN. Fewer than `k` rows give as
-    many centroids as rows.
+    many centroids as rows. `stored` says that `docs` is a table that is cheap to
+    read in every round; else it is written first.
     """
-    docs = cut(docs.select("doc_id", F.col("v").cast("array<double>").alias("v")), "lloyd")  # read in every round
+    docs = docs.select("doc_id", F.col("v").cast("array<double>").alias("v"))
+    if not stored:
+        docs = cut(docs, "lloyd")
     first = docs.orderBy("doc_id").limit(k).select("v").collect()
     if not first:
         return [np.zeros((0, 0)) for _ in range(subspaces)]
@@ -34,17 +49,20 @@ def lloyd(docs: DataFrame, k: int, rounds: int, subspaces: int = 1) -> list[np.n
     if start.shape[1] % subspaces:
         raise ValueError("the dimension has to be a multiple of the number of subspaces")
     books = np.split(start, subspaces, axis=1)
-    k, width = len(start), books[0].shape[1]
-    vectors = docs.select("v")
+    return _rounds(docs.select("v"), books, rounds)
+
+
+def _rounds(vectors: DataFrame, books: list[np.ndarray], rounds: int) -> list[np.ndarray]:
+    """The centroids after `rounds` rounds over all rows of `vectors(v)`; only sums reach the driver."""
+    subspaces, k, width = len(books), len(books[0]), books[0].shape[1]
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(books)
+        shared = vectors.sparkSession.sparkContext.broadcast(books)
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros((subspaces, k, 1 + width))
             for batch in batches:
                 for s, part in enumerate(np.split(to_matrix(batch.column(0)), subspaces, axis=1)):
-                    near = _nearest(part, _filled(shared.value[s]))
-                    np.add.at(total[s], near, np.hstack([np.ones((len(part), 1)), part]))
+                    total[s] += _sums(part, _nearest(part, _filled(shared.value[s])), k)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["slot", "value"])
 
         sums = np.zeros(subspaces * k * (1 + width))
@@ -57,6 +75,70 @@ def lloyd(docs: DataFrame, k: int, rounds: int, subspaces: int = 1) -> list[np.n
     return books
 
 
+#: Rows of the sample on which centroids are trained, rounds over it at most, and the share of the total variance by which a round moves centroids when it ends.
+SAMPLE_ROWS, MOST_ROUNDS, TOLERANCE = 20_000, 100, 1e-4
+
+
+def spread_out(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """`k` rows, each drawn with a chance in proportion to its squared distance from those before (k-means++), the best of a few draws."""
+    centers = [x[rng.integers(len(x))]]
+    nearest = l2sq_matrix(x, centers[0][None])[:, 0]
+    tries = 2 + int(np.log(k)) if k > 1 else 1
+    for _ in range(k - 1):
+        total = nearest.sum()
+        drawn = rng.choice(len(x), tries, p=nearest / total) if total > 0 else rng.integers(len(x), size=1)
+        after = np.minimum(nearest[:, None], l2sq_matrix(x, x[drawn]))
+        best = int(after.sum(0).argmin())
+        centers.append(x[drawn[best]])
+        nearest = after[:, best]
+    return np.array(centers)
+
+
+def train(docs: DataFrame, k: int = 200, rounds: int = 2, seed: int = 42, sample_rows: int = SAMPLE_ROWS, subspaces: int = 1) -> list[np.ndarray]:
+    """Centroids of each of `subspaces` slices of the stored table `docs(doc_id, v)`, at most as many as rows.
+
+    They are spread out and moved until they stand still on a bounded sample of
+    the rows; where the sample isn't the whole table, `rounds` more go over all
+    rows. An empty cell takes the row farthest from its centroid.
+    """
+    n = docs.count()
+    some = docs if n <= sample_rows else docs.sample(fraction=sample_rows / n, seed=seed)
+    held = some.select("doc_id", "v").limit(2 * sample_rows).toArrow().sort_by("doc_id").column("v").combine_chunks()
+    if not len(held):
+        return [np.zeros((0, 0)) for _ in range(subspaces)]
+    whole = to_matrix(held)
+    if whole.shape[1] % subspaces:
+        raise ValueError("the dimension has to be a multiple of the number of subspaces")
+    books = []
+    for s, x in enumerate(np.split(whole, subspaces, axis=1)):
+        c = spread_out(x, min(k, len(x)), np.random.default_rng(seed + s))
+        for _ in range(MOST_ROUNDS):
+            d = l2sq_matrix(x, c)
+            label = d.argmin(1)
+            sums = _sums(x, label, len(c))
+            empty = np.flatnonzero(sums[:, 0] == 0)
+            sums[empty, 0], sums[empty, 1:] = 1, x[np.argsort(-d.min(1), kind="stable")[: len(empty)]]
+            moved = sums[:, 1:] / sums[:, :1]
+            shift, c = ((moved - c) ** 2).sum(), moved
+            if shift <= TOLERANCE * x.var(0).mean():
+                break
+        books.append(c)
+    if n > sample_rows:
+        books = _rounds(docs.select("v"), books, rounds)
+    return books
+
+
+def inertia(docs: DataFrame, centers: np.ndarray) -> float:
+    """Summed squared distances to the nearest centroids."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filled(centers))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(float(l2sq_matrix(to_matrix(b.column(0)), shared.value).min(1).sum()) for b in batches if b.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.float64())], names=["x"])
+
+    return float(docs.select("v").mapInArrow(add, "x double").agg(F.sum("x")).first()[0] or 0.0)
+
+
 def _filled(centers: np.ndarray) -> np.ndarray:
     """Dropped centroids moved where no row is nearest to them."""
     return np.where(np.isnan(centers), 1e12, centers)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillvec.functions.ranking import topk
 from quillvec.functions.vectors import cosine
 
-from .arrow import to_matrix
+from .arrow import first_k, held_rows, small, to_matrix
 
 
 def hyperplanes(dim: int, n: int, seed: int = 42) -> np.ndarray:
@@ -52,13 +52,34 @@ def bands(signed: DataFrame, m: int, b: int) -> DataFrame:
     return signed.select(signed.columns[0], F.posexplode(keys).alias("band", "key"))
 
 
+def band_keys(docs: DataFrame, planes: np.ndarray, b: int) -> DataFrame:
+    """`id, band, key BIGINT`: the bits of each of `b` bands as integers, which compare faster than text."""
+    if len(planes) % b:
+        raise ValueError("the number of bits has to be a multiple of the number of bands")
+    r = len(planes) // b
+    word = min(r, 62)
+    cuts = list(range(0, r, word))
+    name = docs.columns[0]
+
+    def make(bits: np.ndarray) -> pa.ListArray:
+        by_band = bits.reshape(len(bits), b, r).astype(np.int64)
+        packed = np.stack([(by_band[:, :, c : c + word] << np.arange(min(word, r - c))).sum(2) for c in cuts], 2)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * b * len(cuts), pa.int32()), pa.array(packed.ravel(), pa.int64()))
+
+    keys = _bits(docs, planes, make, f"{name} bigint, keys array<bigint>", [name, "keys"])
+    if len(cuts) == 1:
+        return keys.select(name, F.posexplode("keys").alias("band", "key"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.slice("keys", i * len(cuts) + 1, F.lit(len(cuts))))
+    return keys.select(name, F.posexplode(words).alias("band", "key"))
+
+
 def candidates(doc_keys: DataFrame, query_keys: DataFrame, on: list[str]) -> DataFrame:
-    """`qid, doc_id`, distinct, of the rows that share a key; the query side has queries x bands rows."""
-    return doc_keys.join(F.broadcast(query_keys), on).select("qid", "doc_id").distinct()
+    """`qid, doc_id`, distinct, of the rows that share a key. The query side, queries x bands rows, is broadcast if it is small."""
+    return doc_keys.join(small(query_keys), on).select("qid", "doc_id").distinct()
 
 
 def rerank(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    scored = found.join(docs.select("doc_id", "v"), "doc_id").join(F.broadcast(queries.select("qid", "qv")), "qid")
+    scored = found.join(docs.select("doc_id", "v"), "doc_id").join(small(queries.select("qid", "qv")), "qid")
     scored = scored.select("qid", "doc_id", F.round(cosine("qv", "v"), 6).alias("score"))
     return topk(scored, "qid", [F.desc("score"), "doc_id"], k).select("qid", "rank", "doc_id", "score")
 
@@ -66,8 +87,8 @@ def rerank(found: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> Dat
 def banded(docs: DataFrame, queries: DataFrame, m: int, b: int, seed: int = 42, dim: int = 64) -> DataFrame:
     """Candidates of every query by `b` bands over `m` hyperplanes."""
     planes = hyperplanes(dim, m, seed)
-    doc_keys = bands(signatures(docs.select("doc_id", "v"), planes), m, b)
-    query_keys = bands(signatures(queries.select("qid", "qv"), planes), m, b)
+    doc_keys = band_keys(docs.select("doc_id", "v"), planes, b)
+    query_keys = band_keys(queries.select("qid", "qv"), planes, b)
     return candidates(doc_keys, query_keys, ["band", "key"])
 
 
@@ -104,13 +125,37 @@ def hamming_words(docs: DataFrame, planes: np.ndarray, word: int = 60) -> DataFr
     return _bits(docs, planes, make, f"{name} bigint, words array<bigint>", [name, "words"])
 
 
+def packed_bits(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The bits of each row (projection >= 0), 64 to an integer."""
+    bits = np.packbits(x @ planes.T >= 0, axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+
+
 def hamming_search(docs: DataFrame, queries: DataFrame, planes: np.ndarray, k: int = 10) -> DataFrame:
     """`qid, rank, doc_id, score`: least differing bits over all rows, ties by id."""
-    d = hamming_words(docs.select("doc_id", "v"), planes)
-    q = hamming_words(queries.select("qid", "qv"), planes).withColumnRenamed("words", "qwords")
-    apart = F.aggregate(F.zip_with("words", "qwords", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    scored = d.crossJoin(F.broadcast(q)).select("qid", "doc_id", apart.cast("double").alias("score"))
-    return topk(scored, "qid", ["score", "doc_id"], k).select("qid", "rank", "doc_id", "score")
+    ids, q = held_rows(queries, "qid", "qv")
+    shared = docs.sparkSession.sparkContext.broadcast((planes, ids, packed_bits(q, planes) if len(ids) else np.zeros((0, 1), np.uint64)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The `k` nearest of the rows seen so far for each query; a task hands on no more."""
+        w, qid, asked = shared.value
+        row, doc, apart = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 5_000):
+                batch = whole.slice(start, 5_000)
+                own = packed_bits(to_matrix(batch.column(1)), w)
+                score = sum(np.bitwise_count(asked[:, None, j] ^ own[None, :, j]).astype(np.int64) for j in range(own.shape[1]))
+                ids_ = batch.column(0).to_numpy()
+                r, c = first_k(score, ids_, k)
+                row, doc, apart = np.r_[row, r], np.r_[doc, ids_[c]], np.r_[apart, score[r, c]]
+                order = np.lexsort((doc, apart, row))
+                rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                row, doc, apart = (x[order[rank < k]] for x in (row, doc, apart))
+        if len(row):
+            yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(doc), pa.array(apart, pa.float64())], names=["qid", "doc_id", "score"])
+
+    found = docs.select(F.col("doc_id").cast("bigint"), F.col("v").cast("array<double>")).mapInArrow(scan, "qid bigint, doc_id bigint, score double")
+    return topk(found, "qid", ["score", "doc_id"], k).select("qid", "rank", "doc_id", "score")
 
 
 def collision_probability(similarity: Column, k: int | Column) -> Column:

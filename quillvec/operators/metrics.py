@@ -21,8 +21,8 @@ def hits(neighbors: DataFrame, truth: DataFrame, k: int | None = None) -> DataFr
     return n.select("qid", "rank", "doc_id").join(t.select("qid", "doc_id", F.col("rank").alias("truth_rank")), ["qid", "doc_id"])
 
 
-def per_query(neighbors: DataFrame, truth: DataFrame, k: int = 10, standard_average: bool = False) -> DataFrame:
-    """A row of METRICS for each query of the truth.
+def per_query(neighbors: DataFrame, truth: DataFrame, k: int = 10, standard_average: bool = False, query_times: DataFrame | None = None, n_candidates: DataFrame | None = None, n_total: int | None = None) -> DataFrame:
+    """A row of METRICS for each query of the truth; given `query_times(qid, query_time)` also `query_time`, and given `n_candidates(qid, n_candidates)` and the number of all rows also `candidate_ratio`.
 
     Precision and recall both divide by `k`. The average precision has no cut at
     `k` and divides by the hits found, or with `standard_average` by the size of
@@ -40,12 +40,30 @@ def per_query(neighbors: DataFrame, truth: DataFrame, k: int = 10, standard_aver
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     by = F.col("relevant") if standard_average else F.col("found")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    extra = []
+    if query_times is not None:
+        all_ = all_.join(query_times.select("qid", "query_time"), "qid", "left")
+        extra.append(F.col("query_time"))
+    if n_candidates is not None and n_total:
+        all_ = all_.join(n_candidates.select("qid", "n_candidates"), "qid", "left")
+        extra.append(zero(candidate_ratio(F.col("n_candidates"), F.lit(n_total))).alias("candidate_ratio"))
     return all_.select(
         "qid", zero(p).alias("precision_at_k"), zero(p).alias("recall_at_k"), zero(F.when(p > 0, 2 * p * p / (p + p))).alias("f1_at_k"),
-        zero(F.col("dcg") / ideal).alias("ndcg_at_k"), zero(F.col("precisions") / by).alias("average_precision"), zero(1 / F.col("first")).alias("reciprocal_rank"),
+        zero(F.col("dcg") / ideal).alias("ndcg_at_k"), zero(F.col("precisions") / by).alias("average_precision"), zero(1 / F.col("first")).alias("reciprocal_rank"), *extra,
     )
 
 
+def by_setting(found: DataFrame, truth: DataFrame, setting: str, k: int = 10) -> DataFrame:
+    """`setting, recall_at_k, ndcg_at_k`: means over the queries of the truth for each setting of `found(setting, qid, rank, doc_id)`."""
+    queries = truth.groupBy("qid").agg(F.count("*").alias("relevant"))
+    grid = queries.crossJoin(F.broadcast(found.select(setting).distinct()))
+    within = found.where(F.col("rank") <= k).join(truth.where(F.col("rank") <= k).select("qid", "doc_id"), ["qid", "doc_id"])
+    gains = within.groupBy(setting, "qid").agg(F.count("*").alias("n"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6)
+    return grid.join(gains, [setting, "qid"], "left").groupBy(setting).agg(mean(F.col("n") / k).alias("recall_at_k"), mean(F.col("dcg") / ideal).alias("ndcg_at_k"))
+
+
 def dcg(neighbors: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     found = hits(neighbors, truth, k).groupBy("qid").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("d"))
     return truth.select("qid").distinct().join(found, "qid", "left").select("qid", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("dcg_at_k"))
@@ -62,13 +80,18 @@ def batch(metrics: DataFrame, query_times: DataFrame | None = None) -> DataFrame
 
 
 def precision_recall_curve(neighbors: DataFrame, truth: DataFrame, max_k: int | None = None) -> DataFrame:
-    """`qid, k, hits, relevant, recall, precision` at each rank up to `max_k`."""
+    """`qid, k, hits, relevant, recall, precision` of every query of the truth at each rank from 1 to `max_k`, or to the last rank of any neighbour.
+
+    A query with fewer neighbours keeps its hits at the further ranks, so one
+    without any counts 0 throughout.
+    """
     size = truth.groupBy("qid").agg(F.count("*").alias("relevant"))
-    order = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    marked = neighbors.select("qid", "rank", "doc_id").join(truth.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")
-    curve = marked.withColumn("hits", F.sum(F.coalesce("hit", F.lit(0))).over(order)).join(size, "qid")
-    curve = curve.select("qid", F.col("rank").alias("k"), "hits", "relevant", F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"), F.round(F.col("hits") / F.col("rank"), 6).alias("precision"))
-    return curve if max_k is None else curve.where(F.col("k") <= max_k)
+    last = neighbors.agg(F.max("rank").alias("last")) if max_k is None else neighbors.sparkSession.createDataFrame([(max_k,)], "last int")
+    grid = size.crossJoin(F.broadcast(last)).select("qid", "relevant", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("last"), F.lit(1)).cast("int"))).alias("k"))
+    found = hits(neighbors, truth).groupBy("qid", F.col("rank").alias("k")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("qid").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    curve = grid.join(found, ["qid", "k"], "left").withColumn("hits", F.sum(F.coalesce("n", F.lit(0))).over(order))
+    return curve.select("qid", "k", "hits", "relevant", F.round(F.col("hits") / F.col("relevant"), 6).alias("recall"), F.round(F.col("hits") / F.col("k"), 6).alias("precision"))
 
 
 def interpolated_precision(curve: DataFrame, levels: int = 10) -> DataFrame:

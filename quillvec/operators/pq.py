@@ -14,7 +14,7 @@ from quillvec.functions.ranking import topk
 
 from . import ivf
 from .arrow import first_k, held_rows, l2sq_matrix, to_lists, to_matrix
-from .kmeans import _filled, lloyd
+from .kmeans import _filled, lloyd, train
 
 
 def subvectors(docs: DataFrame, m: int, dim: int) -> DataFrame:
@@ -35,8 +35,13 @@ class ProductQuantizer:
     rounds: int = 3
     books: list[np.ndarray] | None = None
 
-    def fit(self, docs: DataFrame) -> ProductQuantizer:
-        self.books = lloyd(docs, self.k, self.rounds, self.m)
+    def fit(self, docs: DataFrame, stored: bool = False) -> ProductQuantizer:
+        self.books = lloyd(docs, self.k, self.rounds, self.m, stored)
+        return self
+
+    def fit_trained(self, docs: DataFrame) -> ProductQuantizer:
+        """As `fit`, from spread-out starting points, on a stored table."""
+        self.books = train(docs, self.k, subspaces=self.m)
         return self
 
     def _ready(self) -> list[np.ndarray]:
@@ -50,16 +55,18 @@ class ProductQuantizer:
         return docs.sparkSession.createDataFrame(rows, "sub int, code int, cv array<double>")
 
     def encode(self, docs: DataFrame) -> DataFrame:
-        """`doc_id, codes ARRAY<SMALLINT>`."""
+        """`doc_id, codes ARRAY<SMALLINT>`, and `cid` where `docs` has it."""
+        carried = [c for c in ("cid",) if c in docs.columns]
         shared = docs.sparkSession.sparkContext.broadcast([_filled(b) for b in self._ready()])
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 codes = encode_matrix(to_matrix(batch.column(1)), shared.value)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * codes.shape[1], pa.int32()), pa.array(codes.ravel(), pa.int16()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, *batch.columns[2:]], names=["doc_id", "codes", *carried])
 
-        return docs.select(F.col("doc_id").cast("bigint"), F.col("v").cast("array<double>")).mapInArrow(code, "doc_id bigint, codes array<smallint>")
+        schema = "doc_id bigint, codes array<smallint>" + "".join(f", {c} int" for c in carried)
+        return docs.select(F.col("doc_id").cast("bigint"), F.col("v").cast("array<double>"), *carried).mapInArrow(code, schema)
 
     def adc_table(self, queries: DataFrame) -> DataFrame:
         """`qid, sub, code, d2`: squared distances of each query's slices to the codes."""
@@ -115,8 +122,11 @@ def residuals(assigned: DataFrame, centers: np.ndarray) -> DataFrame:
 
 def ivfpq_search(assigned: DataFrame, queries: DataFrame, centers: np.ndarray, quantizer: ProductQuantizer, k: int = 10, n_probes: int = 1) -> DataFrame:
     """`qid, rank, doc_id, score` by quantised residuals within the probed cells; `quantizer` is fitted on residuals."""
-    left = residuals(assigned, centers)
-    codes = quantizer.encode(left.select("doc_id", "v")).join(assigned.select("doc_id", "cid"), "doc_id")
+    return ivfpq_answer(quantizer.encode(residuals(assigned, centers)), queries, centers, quantizer, k, n_probes)
+
+
+def ivfpq_answer(codes: DataFrame, queries: DataFrame, centers: np.ndarray, quantizer: ProductQuantizer, k: int = 10, n_probes: int = 1) -> DataFrame:
+    """As `ivfpq_search`, from the codes `doc_id, codes, cid` of the residuals."""
     probed = ivf.probes(queries, centers, n_probes)
     qid, q = held_rows(queries, "qid", "qv")
     where = {int(i): n for n, i in enumerate(qid)}

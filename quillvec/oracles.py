@@ -123,8 +123,25 @@ def oracle_sql() -> dict[str, str]:
     sweep = ", ".join(_probed(n, name=f"near{n}") for n in (1, 2, 5))
     ivfpq = [*_IVF, _PROBE, _RESIDUAL, _parts("rest", "rpart"), *_lloyd("rpart", "rq", PQ_K, ROUNDS), _parts("(SELECT p.qid * 100 + p.cid AS doc_id, p.qid, p.cid AS cell, list_transform(list_zip(qv, cv), lambda p: p[1] - p[2]) AS v FROM probe p WHERE probe_rank <= 2)", "qrest").replace("SELECT doc_id,", "SELECT qid, cell,"), "tab AS MATERIALIZED (SELECT qid, cell, c.sub, cid, power(list_distance(q.v, cv), 2) AS d2 FROM qrest q JOIN rq_c c ON q.sub = c.sub)"]
     top = "SELECT qid, rank, doc_id, score FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS INTEGER) AS rank, doc_id, score FROM ({}))  WHERE rank <= 10"
+    hit_gain = "round(avg(coalesce(n, 0) / 10), 6) AS recall_at_k, round(avg(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i))), 6) AS ndcg_at_k"
+
+    def judge(setting: str, every: str) -> str:
+        """Means over the truth's queries of the lists `every` (a select of {setting}, qid, rank, doc_id)."""
+        return f"every AS MATERIALIZED ({every}), got AS (SELECT {setting}, e.qid, count(*) AS n, sum(1 / log2(e.rank + 1)) AS dcg FROM every e JOIN truth t ON t.qid = e.qid AND t.doc_id = e.doc_id GROUP BY 1, 2), judged AS (SELECT s.{setting}, {hit_gain} FROM (SELECT DISTINCT {setting} FROM every) s CROSS JOIN (SELECT DISTINCT qid FROM truth) q LEFT JOIN got g ON g.{setting} = s.{setting} AND g.qid = q.qid GROUP BY 1)"
+
+    def flat(cells: int) -> list[str]:
+        return [_WHOLE, *_lloyd("whole", "km", cells, ROUNDS), _PROBE, ", ".join(_probed(n, name=f"near{n}") for n in (1, 2, 5, 10, 20)), _TRUTH, judge("n_probes", " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS n_probes, qid, rank, doc_id FROM near{n}" for n in (1, 2, 5, 10, 20)))]
+
+    def quantised(m: int) -> list[str]:
+        w = DIM // m
+        return [_parts("docs", f"part{m}", m), *_lloyd(f"part{m}", f"pq{m}", 256, ROUNDS), f"adc{m} AS MATERIALIZED (SELECT qid, c.sub, cid, power(list_distance(qs, cv), 2) AS d2 FROM (SELECT qid, CAST(s AS INTEGER) AS sub, qv[s * {w} + 1 : s * {w} + {w}] AS qs FROM queries, range({m}) r(s)) q JOIN pq{m}_c c ON q.sub = c.sub)", f"near_{m} AS MATERIALIZED (SELECT qid, rank, doc_id, score FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS INTEGER) AS rank, doc_id, score FROM (SELECT qid, doc_id, round(sum(d2), 6) AS score FROM adc{m} a JOIN pq{m}_a p ON p.sub = a.sub AND p.cid = a.cid GROUP BY qid, doc_id)) WHERE rank <= 10)"]
+
+    def bits_near(n: int) -> list[str]:
+        return [c.replace("plane(j, w)", f"plane{n}(j, w)").replace("dbit AS", f"dbit{n} AS").replace("qbit AS", f"qbit{n} AS").replace(", plane)", f", plane{n})") for c in _hash_ctes(hyperplanes(DIM, n))] + [f"near_{n} AS MATERIALIZED (SELECT qid, rank, doc_id FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY n, doc_id) AS rank FROM (SELECT qid, doc_id, sum(CASE WHEN a.bit <> b.bit THEN 1 ELSE 0 END) AS n FROM dbit{n} a JOIN qbit{n} b ON a.j = b.j GROUP BY qid, doc_id)) WHERE rank <= 10)"]
+
+    banded_near = [f"top{b} AS MATERIALIZED ({_cosine_top(f'cand{b}')})" for b in (4, 8, 16, 32)]
     best = f"best AS (SELECT m, run_id, recall_at_k FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY recall_at_k DESC NULLS LAST, run_id) AS r FROM (SELECT DISTINCT {_METHOD} AS m, run_id, recall_at_k FROM benchmark_runs WHERE method IS NOT NULL)) WHERE r = 1)"
-    movie_columns = ["doc_id", "title", "plot", "decade", "studio", "scraped_at", "loaded_at"]
+    movie_columns = ["doc_id", "title", "plot", "decade", "studio", "tokens", "scraped_at", "loaded_at"]
     nulls = ", ".join(f"CAST(count(*) - count({c}) AS BIGINT) AS {c}" for c in movie_columns)
     return {
         "x1_exact_l2": _sql("SELECT * FROM truth", _TRUTH),
@@ -147,6 +164,13 @@ def oracle_sql() -> dict[str, str]:
         "b1_sweep": _sql("SELECT 1 AS n_probes, * FROM near1 UNION ALL SELECT 2, * FROM near2 UNION ALL SELECT 5, * FROM near5", *_IVF, _PROBE, sweep),
         "b1_sweep_metrics": _sql("SELECT CAST(n AS INTEGER) AS n_probes, round(avg(h / 10), 6) AS recall_at_k FROM (SELECT n, q.qid, count(t.doc_id) AS h FROM (SELECT DISTINCT qid FROM truth) q, (VALUES (1), (2), (5)) g(n) LEFT JOIN every e ON e.qid = q.qid AND e.n_probes = n LEFT JOIN truth t ON t.qid = e.qid AND t.doc_id = e.doc_id GROUP BY 1, 2) GROUP BY n", *_IVF, _PROBE, sweep, _TRUTH, "every AS (SELECT 1 AS n_probes, * FROM near1 UNION ALL SELECT 2, * FROM near2 UNION ALL SELECT 5, * FROM near5)"),
         "f2_ivfflat": _sql("SELECT *, round(CAST(0.625 AS DOUBLE), 6) AS nominal_ratio FROM near", *_IVF, _PROBE, _probed(5, "power(list_distance({v}, {q}), 2)")),
+        "v5_search_200": _sql("SELECT * FROM near", _WHOLE, *_lloyd("whole", "km", 200, ROUNDS), _PROBE, _probed(5)),
+        "b1_sweep_200": _sql("SELECT j.n_probes, recall_at_k, ndcg_at_k, candidate_ratio FROM judged j JOIN (SELECT n_probes, round(avg(n / (SELECT count(*) FROM docs)), 6) AS candidate_ratio FROM (SELECT g.n_probes, p.qid, count(a.doc_id) AS n FROM probe p JOIN (VALUES (1), (2), (5), (10), (20)) g(n_probes) ON p.probe_rank <= g.n_probes LEFT JOIN km_a a ON a.cid = p.cid GROUP BY 1, 2) GROUP BY 1) c ON c.n_probes = j.n_probes", *flat(200)),
+        "b7_ivf_sweep": _sql("SELECT n_probes, recall_at_k, ndcg_at_k, round(n_probes / CAST(100 AS DOUBLE), 6) AS nominal_ratio FROM judged", *flat(100)),
+        "q7_search_256": _sql("SELECT qid, rank, doc_id, score FROM near_4", *quantised(4)),
+        "b3_pq_sweep": _sql("SELECT m, recall_at_k, ndcg_at_k, round(CAST(128.0 AS DOUBLE) / m, 6) AS compression_ratio FROM judged", *quantised(2), *quantised(4), *quantised(8), _TRUTH, judge("m", " UNION ALL ".join(f"SELECT CAST({m} AS INTEGER) AS m, qid, rank, doc_id FROM near_{m}" for m in (2, 4, 8)))),
+        "b5_lsh_metrics": _sql("SELECT c.b_bands, coalesce(recall_at_k, 0) AS recall_at_k, coalesce(ndcg_at_k, 0) AS ndcg_at_k, candidate_ratio FROM (" + " UNION ALL ".join(f"SELECT CAST({b} AS INTEGER) AS b_bands, round(count(*) / (SELECT count(*) FROM docs) / (SELECT count(*) FROM queries), 6) AS candidate_ratio FROM cand{b}" for b in (4, 8, 16, 32)) + ") c LEFT JOIN judged j ON j.b_bands = c.b_bands", *m128, *(x for b in (4, 8, 16, 32) for x in _banded(b)), *banded_near, _TRUTH, judge("b_bands", " UNION ALL ".join(f"SELECT CAST({b} AS INTEGER) AS b_bands, qid, rank, doc_id FROM top{b}" for b in (4, 8, 16, 32)))),
+        "b7_hamming_sweep": _sql("SELECT nbits, recall_at_k, ndcg_at_k FROM judged", *(c for n in (64, 128, 256, 512) for c in bits_near(n)), _TRUTH, judge("nbits", " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS nbits, qid, rank, doc_id FROM near_{n}" for n in (64, 128, 256, 512)))),
         "q2_subvectors": _sql("SELECT doc_id, sub, CAST(len(v) AS INTEGER) AS width, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM part", _PQ[0]),
         "q3_codebook": _sql("SELECT sub, code, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM (SELECT sub, cid AS code, unnest(cv) AS x, generate_subscripts(cv, 1) AS i FROM pq_c)", *_PQ),
         "q4_encode": _sql("SELECT doc_id, sub, cid AS code FROM pq_a", *_PQ),
@@ -184,7 +208,8 @@ def oracle_sql() -> dict[str, str]:
         "t12_text_lengths": f"{_SUMMARY} (SELECT length(plot) AS n FROM movies)",
         "l3_tfidf": _sql("SELECT doc_id, term, tf, round(tf * (ln(((SELECT count(*) FROM word) + 1) / (df + 1)) + 1), 6) AS w FROM tf JOIN (SELECT term, count(*) AS df FROM tf GROUP BY 1) USING (term)", _WORDS, "tf AS MATERIALIZED (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM word) GROUP BY 1, 2)", base=False),
         "e2_mean_pool": _sql("SELECT doc_id, round(coalesce(a, 0), 6) AS mean_length, round(coalesce(b, 0), 6) AS mean_vowels, CAST(CASE WHEN a IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS one FROM documents LEFT JOIN (SELECT doc_id, avg(length(t)) AS a, avg(length(regexp_replace(t, '[^aeiou]', '', 'g'))) AS b FROM (SELECT doc_id, unnest(w) AS t FROM word) WHERE length(t) > 2 GROUP BY 1) USING (doc_id)", _WORDS, base=False),
-        "s1_labelled_union": "SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n, lower(lang[1:2]) AS decade FROM documents WHERE lower(lang[1:2]) IN ('de', 'en', 'es', 'fr')",
+        "s1_labelled_parts": "SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n, lower(lang[1:2]) AS decade FROM documents",
+        "s1_labelled_csv": "SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n, coalesce(lower(lang[1:2]), 'none') AS decade FROM documents",
         "s3_metadata_rows": "SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns FROM doc_metadata",
         "s5_round_trip": _sql("SELECT d.doc_id, round(CAST(1 AS DOUBLE), 4) AS norm, title, decade FROM docs d LEFT JOIN (SELECT doc_id, min(title) AS title, min(decade) AS decade FROM doc_metadata GROUP BY 1) m ON m.doc_id = d.doc_id"),
         "s7_result_csv": _sql("SELECT m AS method, run_id, 64 AS dim, recall_at_k FROM best", best, base=False),
@@ -196,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "rel_unit_conversion": "SELECT DISTINCT run_id, round(candidate_ratio * 1000, 6) AS per_mille FROM benchmark_runs",
         "rel_positions": "SELECT doc_id AS source_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM documents",
         "a1_group_counts": "SELECT decade, count(*) AS n FROM movies WHERE decade IS NOT NULL GROUP BY decade",
-        "a3_null_counts": f"SELECT *, {' + '.join(movie_columns)} AS total FROM (SELECT {nulls} FROM movies)",
+        "a3_all_null_counts": f"SELECT *, {' + '.join(movie_columns)} AS total FROM (SELECT {nulls} FROM movies)",
         "a4_shape": "SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns FROM movies",
         "a5_means": "SELECT method, top_k, round(avg(recall_at_k), 6) AS mean_recall, round(avg(candidate_ratio), 6) AS mean_ratio, count(*) AS n FROM benchmark_runs GROUP BY 1, 2",
         "u1_union": f"SELECT run_id, CAST(n_candidates AS DOUBLE) AS probed, recall_at_k, NULL::DOUBLE AS subvectors FROM benchmark_runs WHERE {_METHOD} = 'VQ' UNION ALL SELECT run_id, NULL, recall_at_k, CAST(dim AS DOUBLE) FROM benchmark_runs WHERE {_METHOD} = 'PQ'",

@@ -17,9 +17,9 @@ from quillvec.functions import vectors as vx
 from quillvec.functions.ranking import topk
 from quillvec.operators import corpus, embedding, exact, ivf, kmeans, lsh, metrics, pq
 from quillvec.operators import experiments as ex
-from quillvec.plans.lineage import new_path, own
+from quillvec.plans.lineage import cut, new_path, own
 from quillvec.sources import read_table
-from quillvec.sources.files import load_embeddings, read_results, save_embeddings, save_results, with_positions
+from quillvec.sources.files import load_embeddings, read_labelled_csv, read_results, save_embeddings, save_labelled_csv, save_results, with_positions
 
 from .oracles import oracle_sql  # noqa: F401
 
@@ -28,6 +28,8 @@ DIM, K = 64, 10
 CELLS, ROUNDS, PQ_M, PQ_K = 8, 3, 4, 16
 LSH_M, LSH_B = 128, 16
 TABLE_K, TABLES = 8, 10
+#: The reference's sizes: cells, lists, codes, and probes of its sweeps.
+VQ_CELLS, LISTS, PQ_CODES, PROBES = 200, 100, 256, [1, 2, 5, 10, 20]
 BITS = 60
 
 
@@ -53,9 +55,14 @@ def _half(s, d) -> DataFrame:
     return exact.knn(docs, _queries(s, d).select("qid", vx.dims("qv", DIM // 2).alias("qv")), K, "l2")
 
 
-def _cells(s, d) -> tuple[DataFrame, np.ndarray]:
-    docs = _vectors(s, d)
-    return docs, kmeans.lloyd(docs, CELLS, ROUNDS)[0]
+def _stored(s, d) -> DataFrame:
+    """The vectors written once, for what reads them in several rounds."""
+    return cut(_vectors(s, d), "vectors")
+
+
+def _cells(s, d, cells: int = CELLS) -> tuple[DataFrame, np.ndarray]:
+    docs = _stored(s, d)
+    return docs, kmeans.lloyd(docs, cells, ROUNDS, stored=True)[0]
 
 
 def _tokens(s, d) -> DataFrame:
@@ -175,17 +182,72 @@ def f2_ivfflat(s, d):
     return near.withColumn("nominal_ratio", F.round(F.lit(5 / CELLS), 6))
 
 
+def _quality(s, docs: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Cells, rows, and the share of the variance about the mean that stays within cells."""
+    one = np.array(docs.agg(*[F.avg(F.col("v")[i]) for i in range(DIM)]).first(), float)[None]
+    return s.createDataFrame([(len(centers), docs.count(), round(kmeans.inertia(docs, centers) / kmeans.inertia(docs, one), 6))], "cells int, n bigint, within_share double")
+
+
 def v1_mllib(s, d):
-    """Sizes of MLlib's clusters; they depend on partitioning, so there is no SQL."""
-    docs = _vectors(s, d)
-    return kmeans.assign(docs, kmeans.mllib_kmeans(docs, CELLS)).groupBy("cid").agg(F.count("*").alias("n"))
+    """How well MLlib's cells fit, at the reference's number; they depend on partitioning, so there is no SQL."""
+    docs = _stored(s, d)
+    return _quality(s, docs, kmeans.mllib_kmeans(docs, ex.clip(docs.count(), 1, VQ_CELLS)))
+
+
+def v1_trained(s, d):
+    """How well cells trained from spread-out starts fit, at the reference's number; the draws have no SQL."""
+    docs = _stored(s, d)
+    return _quality(s, docs, kmeans.train(docs, VQ_CELLS)[0])
+
+
+def v7_search_trained(s, d):
+    """The ten nearest over the reference's 200 trained cells and 5 probes; the draws have no SQL."""
+    docs = _stored(s, d)
+    c = kmeans.train(docs, VQ_CELLS)[0]
+    return ivf.search(kmeans.assign(docs, c), _queries(s, d), c, K, 5)
+
+
+def v5_search_200(s, d):
+    """The reference's 200 cells and 5 probes, from the least ids as SQL can."""
+    docs, c = _cells(s, d, VQ_CELLS)
+    return ivf.search(kmeans.assign(docs, c), _queries(s, d), c, K, 5)
+
+
+def b1_sweep_200(s, d):
+    """Recall, gain and share of candidates of the reference's sweep: 200 cells, probes 1 to 20."""
+    docs, c = _cells(s, d, VQ_CELLS)
+    assigned, q, t = kmeans.assign(docs, c), _queries(s, d), _truth(s, d)
+    judged = metrics.by_setting(ivf.sweep(assigned, q, c, PROBES, K), t, "n_probes", K)
+    total = docs.agg(F.count("*").alias("total"))
+    sizes = ivf.probes(q, c, max(PROBES)).join(assigned.groupBy("cid").count(), "cid", "left")
+    each = sizes.withColumn("n_probes", F.explode(F.array([F.lit(n) for n in PROBES]))).where("probe_rank <= n_probes").groupBy("n_probes", "qid").agg(F.sum(F.coalesce("count", F.lit(0))).alias("n"))
+    ratio = each.crossJoin(F.broadcast(total)).groupBy("n_probes").agg(F.round(F.avg(F.col("n") / F.col("total")), 6).alias("candidate_ratio"))
+    return judged.join(ratio, "n_probes")
+
+
+def b7_ivf_sweep(s, d):
+    """The inverted file of 100 lists over probes 1 to 20; the ratio is the nominal one."""
+    docs, c = _cells(s, d, LISTS)
+    found = ivf.sweep(kmeans.assign(docs, c), _queries(s, d), c, PROBES, K)
+    return metrics.by_setting(found, _truth(s, d), "n_probes", K).withColumn("nominal_ratio", F.round(F.col("n_probes") / LISTS, 6))
+
+
+def b7_ivfpq_sweep(s, d):
+    """The inverted file of 100 lists with residuals in 4 x 256 codes over probes 1 to 20; SQL would take too long."""
+    docs, c = _cells(s, d, LISTS)
+    assigned = kmeans.assign(docs, c)
+    left = cut(pq.residuals(assigned, c), "residuals")
+    quantizer = pq.ProductQuantizer(PQ_M, PQ_CODES, ROUNDS).fit(left.select("doc_id", "v"), stored=True)
+    codes = cut(quantizer.encode(left), "codes")
+    found = [pq.ivfpq_answer(codes, _queries(s, d), c, quantizer, K, n).withColumn("n_probes", F.lit(n)) for n in PROBES]
+    return metrics.by_setting(ex.union_by_name(*found), _truth(s, d), "n_probes", K).withColumn("nominal_ratio", F.round(F.col("n_probes") / LISTS, 6))
 
 
 # product quantisation
 
 
-def _pq(s, d, docs=None) -> pq.ProductQuantizer:
-    return pq.ProductQuantizer(PQ_M, PQ_K, ROUNDS).fit(_vectors(s, d) if docs is None else docs)
+def _pq(s, d, docs=None, m: int = PQ_M, k: int = PQ_K) -> pq.ProductQuantizer:
+    return pq.ProductQuantizer(m, k, ROUNDS).fit(_vectors(s, d) if docs is None else docs, stored=docs is not None)
 
 
 def q2_subvectors(s, d):
@@ -206,12 +268,35 @@ def q5_adc_table(s, d):
 
 
 def q7_search(s, d):
-    quantizer = _pq(s, d)
-    return quantizer.search(quantizer.encode(_vectors(s, d)), _queries(s, d), K)
+    docs = _stored(s, d)
+    quantizer = _pq(s, d, docs)
+    return quantizer.search(quantizer.encode(docs), _queries(s, d), K)
+
+
+def q7_search_256(s, d):
+    """The ten nearest by the reference's 4 x 256 codes."""
+    docs = _stored(s, d)
+    quantizer = _pq(s, d, docs, k=PQ_CODES)
+    return quantizer.search(quantizer.encode(docs), _queries(s, d), K)
+
+
+def b3_pq_sweep(s, d):
+    """Recall, gain and compression of 2, 4 and 8 subvectors with 256 codes each."""
+    docs, found = _stored(s, d), []
+    for m in (2, 4, 8):
+        quantizer = _pq(s, d, docs, m, PQ_CODES)
+        found.append(quantizer.search(quantizer.encode(docs), _queries(s, d), K).withColumn("m", F.lit(m)))
+    judged = metrics.by_setting(ex.union_by_name(*found), _truth(s, d), "m", K)
+    return judged.withColumn("compression_ratio", F.round(4.0 * DIM / (2 * F.col("m")), 6))
 
 
 def q8_compression(s, d):
-    return s.createDataFrame([(m, pq.compression_ratio(DIM, m)) for m in (2, 4, 8)], "m int, compression_ratio double")
+    """Bytes of the stored vectors over those of their codes, as encoded."""
+    docs, out = _stored(s, d), []
+    for m in (2, 4, 8):
+        codes = _pq(s, d, docs, m).encode(docs).agg(F.sum(F.size("codes") * 2).alias("bytes"), F.count("*").alias("n"))
+        out.append(codes.select(F.lit(m).alias("m"), (F.col("n") * 4.0 * DIM / F.col("bytes")).alias("compression_ratio")))
+    return ex.union_by_name(*out)
 
 
 def f3_ivfpq(s, d):
@@ -237,7 +322,7 @@ def h4_candidates(s, d):
 
 
 def h5_search(s, d):
-    docs, q = _vectors(s, d), _queries(s, d)
+    docs, q = _stored(s, d), _queries(s, d)
     return lsh.rerank(lsh.banded(docs, q, LSH_M, LSH_B), docs, q, K)
 
 
@@ -258,6 +343,25 @@ def b5_lsh_sweep(s, d):
     return ex.union_by_name(*each)
 
 
+def b5_lsh_metrics(s, d):
+    """Recall, gain and share of candidates of each banding of the same 128 bits."""
+    docs, q, t = _stored(s, d), _queries(s, d), _truth(s, d)
+    planes, found, ratios = lsh.hyperplanes(DIM, LSH_M), [], []
+    total, asked = docs.agg(F.count("*").alias("total")), q.agg(F.count("*").alias("asked"))
+    for b in (4, 8, 16, 32):
+        near = cut(lsh.candidates(lsh.band_keys(docs, planes, b), lsh.band_keys(q, planes, b), ["band", "key"]), "candidates")
+        found.append(lsh.rerank(near, docs, q, K).withColumn("b_bands", F.lit(b)))
+        ratios.append(near.agg(F.count("*").alias("n")).crossJoin(total).crossJoin(asked).select(F.lit(b).alias("b_bands"), F.round(F.col("n") / F.col("total") / F.col("asked"), 6).alias("candidate_ratio")))
+    return ex.union_by_name(*ratios).join(metrics.by_setting(ex.union_by_name(*found), t, "b_bands", K), "b_bands", "left").select("b_bands", F.coalesce("recall_at_k", F.lit(0.0)).alias("recall_at_k"), F.coalesce("ndcg_at_k", F.lit(0.0)).alias("ndcg_at_k"), "candidate_ratio")
+
+
+def b7_hamming_sweep(s, d):
+    """Recall and gain of bit signatures of 64 to 512 bits."""
+    docs, q = _stored(s, d), _queries(s, d)
+    found = [lsh.hamming_search(docs, q, lsh.hyperplanes(DIM, bits), K).withColumn("nbits", F.lit(bits)) for bits in (64, 128, 256, 512)]
+    return metrics.by_setting(ex.union_by_name(*found), _truth(s, d), "nbits", K)
+
+
 def g1_table_keys(s, d):
     return lsh.table_keys(_vectors(s, d), lsh.table_hyperplanes(DIM, TABLE_K, TABLES))
 
@@ -390,12 +494,29 @@ def e2_mean_pool(s, d):
     return pooled.select("doc_id", *[F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate(("mean_length", "mean_vowels", "one"))])
 
 
+def _near_words(s, d, **settings) -> DataFrame:
+    tokens = cut(_tokens(s, d), "tokens")
+    frequent = corpus.top_terms(tokens.select(tx.without_stop_words("tokens").alias("tokens")), "tokens", 20).select(F.col("term").alias("word"))
+    return embedding.nearest_words(embedding.train_word2vec(tokens, **settings), frequent)
+
+
 def e1_word2vec(s, d):
-    """Vectors of a trained model, pooled over the documents; training has no SQL."""
-    tokens = _tokens(s, d)
-    model = embedding.train_word2vec(tokens, size=32)
-    pooled = embedding.mean_pool(tokens, embedding.word_vectors(model), 32)
-    return pooled.select("doc_id", F.size("v").alias("dim"), F.round(vx.norm(vx.l2_normalize("v")), 6).alias("norm"))
+    """The nearest words of the twenty most frequent ones by vectors of 200 components; training has no SQL."""
+    return _near_words(s, d)
+
+
+def e1b_word2vec(s, d):
+    """As e1 with the variant's settings: 100 components, words that occur twice, 20 rounds, as many workers as cores."""
+    return _near_words(s, d, size=100, min_count=2, iterations=20, partitions=s.sparkContext.defaultParallelism)
+
+
+def e3_document_vectors(s, d):
+    """Documents as means of trained word vectors at unit length: the three nearest of each of the 50 least ids."""
+    tokens = cut(_tokens(s, d), "tokens")
+    model = embedding.train_word2vec(tokens, size=64)
+    docs = cut(embedding.mean_pool(tokens, embedding.word_vectors(model), 64).select("doc_id", vx.l2_normalize("v").alias("v")), "pooled")
+    asked = docs.orderBy("doc_id").limit(50).select(F.col("doc_id").alias("qid"), F.col("v").alias("qv"))
+    return exact.knn(docs, asked, 3, "dot", exclude_self=True)
 
 
 def l8_lsi_search(s, d):
@@ -409,10 +530,21 @@ def l8_lsi_search(s, d):
 # relational operators
 
 
-def s1_labelled_union(s, d):
-    """The labelled parts of a table, each with its label as a literal, put together again."""
-    docs = read_table(s, d, "documents")
-    parts = [docs.where(F.lower(F.substring("lang", 1, 2)) == x).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).withColumn("decade", F.lit(x)) for x in ("de", "en", "es", "fr")]
+def s1_labelled_csv(s, d):
+    """Texts written as one CSV file for each language, those without one too, and read back in one scan with the label from the file's name."""
+    docs = read_table(s, d, "documents").select(F.col("doc_id").cast("string").alias("title"), F.col("text").alias("plot"), F.coalesce(F.lower(F.substring("lang", 1, 2)), F.lit("none")).alias("label"))
+    folder, labels = new_path(s, "csv"), [r.label for r in docs.select("label").distinct().collect()]
+    for x in labels:
+        save_labelled_csv(docs.where(F.col("label") == x).drop("label"), folder, x)
+    read = own(read_labelled_csv(s, f"{folder}/*-movies.csv"), folder)
+    return read.select(F.col("title").cast("bigint").alias("doc_id"), F.coalesce(F.length("plot"), F.lit(0)).alias("n"), "decade")
+
+
+def s1_labelled_parts(s, d):
+    """All labelled parts of a table, each with its label as a literal, put together again; rows without a label are a part too."""
+    docs = read_table(s, d, "documents").withColumn("label", F.lower(F.substring("lang", 1, 2)))
+    labels = [r.label for r in docs.select("label").distinct().collect()]
+    parts = [docs.where(F.col("label").eqNullSafe(F.lit(x))).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).withColumn("decade", F.lit(x).cast("string")) for x in labels]
     return ex.union_by_name(*parts)
 
 
@@ -478,8 +610,8 @@ def a1_group_counts(s, d):
     return corpus.value_counts(read_table(s, d, "movies"), "decade")
 
 
-def a3_null_counts(s, d):
-    return corpus.null_counts(read_table(s, d, "movies").drop("tokens"))
+def a3_all_null_counts(s, d):
+    return corpus.null_counts(read_table(s, d, "movies"))
 
 
 def a4_shape(s, d):
@@ -527,6 +659,50 @@ def u3_intersection(s, d):
     return a.join(b, "qid").select("qid", F.size(F.array_intersect("x", "y")).alias("shared"))
 
 
+def z2_scaling_samples(s, d):
+    """The samples of 50, 10 and 10 of all embeddings, drawn after each other from one stream."""
+    table = read_table(s, d, "embeddings").select("vec_id", "label")
+    drawn = ex.sample_stream(table.count(), [50, 10, 10])
+    return s.createDataFrame([(e, r, i) for e, ids in enumerate(drawn) for r, i in enumerate(ids)], "experiment int, draw int, vec_id bigint").join(table, "vec_id")
+
+
+def b2_scaling(s, d):
+    """Build and query times of the three searches over row prefixes and dimension prefixes, with the reference's rules for their sizes; times have no SQL."""
+    docs, q = _stored(s, d), _queries(s, d)
+    n = docs.count()
+    sizes = sorted({x for x in (1_000, 2_000, 5_000, 10_000) if x < n} | {min(20_000, n)})
+    held: dict = {}
+
+    def vq_build(part, _):
+        held["vq"] = kmeans.train(part, VQ_CELLS)[0]
+        return kmeans.assign(part, held["vq"])
+
+    def pq_build(part, asked):
+        m = PQ_M if held["rows"] else ex.pq_parts(len(asked.first().qv), 16)
+        held["pq"] = pq.ProductQuantizer(m, PQ_CODES).fit_trained(part)
+        return held["pq"].encode(part)
+
+    def lsh_build(part, asked):
+        dim = len(asked.first().qv)
+        held["planes"], held["part"] = lsh.hyperplanes(dim, LSH_M if held["rows"] else ex.lsh_bits(dim)), part
+        return lsh.band_keys(part, held["planes"], LSH_B)
+
+    def lsh_search(index, asked):
+        return lsh.rerank(lsh.candidates(index, lsh.band_keys(asked, held["planes"], LSH_B), ["band", "key"]), held["part"], asked, K)
+
+    methods = {
+        "VQ": (vq_build, lambda index, asked: ivf.search(index, asked, held["vq"], K, 5)),
+        "PQ": (pq_build, lambda index, asked: held["pq"].search(index, asked, K)),
+        "LSH": (lsh_build, lsh_search),
+    }
+    out = []
+    for by_rows, grid in ((True, (sizes, [DIM])), (False, ([min(10_000, n)], [DIM // 4, DIM // 2, DIM]))):
+        for name, (build, search) in methods.items():
+            held["rows"] = by_rows
+            out.append(ex.scaling(docs, q, name, build, search, *grid).withColumn("experiment", F.lit("rows" if by_rows else "dim")))
+    return ex.union_by_name(*out)
+
+
 def z1_sample(s, d):
     """The seeded sample of 50 of the first 500 embeddings, as ids."""
     return s.createDataFrame([(i, r) for r, i in enumerate(ex.sample_ids(500, 50))], "vec_id bigint, draw int").join(read_table(s, d, "embeddings").select("vec_id", "label"), "vec_id")

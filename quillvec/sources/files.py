@@ -28,6 +28,13 @@ def read_labelled_csv(spark: SparkSession, pattern: str, label: str = "decade",
     return df.withColumn(label, F.regexp_extract(F.input_file_name(), rf"([^/]+){suffix}\.csv", 1))
 
 
+def save_labelled_csv(df: DataFrame, folder: str, label: str, suffix: str = "-movies") -> str:
+    """The counterpart of `read_labelled_csv`: `{folder}/{label}{suffix}.csv`; quotes are doubled, line breaks stay within quotes. The path."""
+    path = f"{folder}/{label}{suffix}.csv"
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
 def with_positions(df: DataFrame, *order: str) -> DataFrame:
     """`doc_id` from 0 in a stated order. Ranks are taken within ranges and shifted by the sizes of the ranges before, so no task ranks all rows."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -34,3 +34,34 @@ def test_flagship_and_oracles(spark):
         got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
         want = sorted(map(repr, con.execute(f"SELECT {', '.join(columns)} FROM ({sql[name]})").fetchall()))
         assert got == want, name
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_every_query_of_the_core_agrees_with_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import quillvec.queries as core
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for p in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    queries, sql = entry_module().queries(), core.oracle_sql()
+    differ = []
+    for name in sql:
+        df = queries[name](spark, str(DATA))
+        columns = sorted(df.columns)
+        got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+        if got != sorted(map(repr, con.execute(f"SELECT {', '.join(columns)} FROM ({sql[name]})").fetchall())):
+            differ.append(name)
+    assert not differ
+
+
+def test_a_failing_subpackage_leaves_the_core(monkeypatch):
+    import sys
+
+    import quillvec
+
+    module = entry_module()
+    monkeypatch.setitem(sys.modules, "quillvec.llm", None)  # its import raises ImportError
+    monkeypatch.delattr(quillvec, "llm", raising=False)
+    assert module.queries() and not any(k.startswith("p1_") for k in module.queries())

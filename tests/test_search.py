@@ -160,3 +160,60 @@ def test_scaling_runs(docs, queries):
 
     got = ex.scaling(docs, queries, "flat", build, search, [50, 300], [8]).collect()
     assert [(r.N, r.dim) for r in got] == [(50, 8), (300, 8)] and all(r.build_time > 0 and r.query_time > 0 for r in got)
+
+
+def test_trained_centroids(docs, x):
+    stored = docs.select("doc_id", "v")
+    (c,) = kmeans.train(stored, 8)
+    within = ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+    assert kmeans.inertia(stored, c) == pytest.approx(within)
+    assert within <= 1.02 * min(((x[:, None] - kmeans.train(stored, 8, seed=s)[0][None]) ** 2).sum(2).min(1).sum() for s in range(5)) * 1.1
+    assert within < ((x[:, None] - kmeans.lloyd(docs, 8, 3)[0][None]) ** 2).sum(2).min(1).sum() * 1.001
+    assert len(kmeans.train(stored.limit(3), 200)[0]) == 3 and kmeans.train(stored.where("false"), 5)[0].shape == (0, 0)
+    sampled = kmeans.train(stored, 8, rounds=3, sample_rows=100)[0]
+    assert ((x[:, None] - sampled[None]) ** 2).sum(2).min(1).sum() < 1.3 * within
+    parts = kmeans.train(stored, 10, subspaces=4)
+    assert [p.shape for p in parts] == [(10, D // 4)] * 4
+
+
+def test_spread_out_starts_hit_every_cluster():
+    rng = np.random.default_rng(3)
+    centers = 10 * np.eye(12)
+    x = np.repeat(centers, 40, 0) + 0.1 * rng.standard_normal((480, 12))
+    start = kmeans.spread_out(x, 12, np.random.default_rng(0))
+    assert len({int(((centers - s) ** 2).sum(1).argmin()) for s in start}) == 12
+
+
+def test_packed_band_keys_are_the_bands(docs, x):
+    planes = lsh.hyperplanes(D, 128)
+    bits = (x @ planes.T >= 0).astype(int)
+    for b in (1, 4, 16):
+        keys = bits.reshape(len(x), b, -1)
+        got = {}
+        for r in lsh.band_keys(docs, planes, b).collect():
+            got.setdefault((r.band, str(r.key)), set()).add(r.doc_id)
+        want = {}
+        for i in range(len(x)):
+            for j in range(b):
+                want.setdefault((j, tuple(keys[i, j])), set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    with pytest.raises(ValueError):
+        lsh.band_keys(docs, planes, 5)
+
+
+def test_residual_sweep_keeps_the_cell(docs, queries):
+    few, asked = docs.where("doc_id < 60"), queries.where("qid < 60")
+    c = kmeans.lloyd(few, 4, 2)[0]
+    assigned = kmeans.assign(few, c)
+    left = pq.residuals(assigned, c)
+    q = pq.ProductQuantizer(4, 16, 2).fit(left.select("doc_id", "v"))
+    codes = q.encode(left)
+    assert {r.doc_id: r.cid for r in codes.collect()} == {r.doc_id: r.cid for r in assigned.collect()}
+    assert table(pq.ivfpq_answer(codes, asked, c, q, 5, 2)) == table(pq.ivfpq_search(assigned, asked, c, q, 5, 2))
+
+
+def test_a_large_side_is_not_broadcast(spark):
+    from quillvec.operators.arrow import small
+
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(spark.range(10).join(small(spark.range(5)), "id")) and "broadcast" not in plan(spark.range(10).join(small(spark.range(50), 20), "id"))

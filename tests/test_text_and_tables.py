@@ -129,3 +129,40 @@ def test_model_round_trip(spark, tmp_path):
     files.save_model(model, str(tmp_path / "w2v"))
     again = embedding.word_vectors(Word2VecModel.load(str(tmp_path / "w2v"))).orderBy("word").collect()
     assert again == embedding.word_vectors(model).orderBy("word").collect() and len(again) == 3
+
+
+def test_word_tokens_like_the_pattern(spark):
+    import re
+
+    splits = re.compile(r"[^\W_]+(?:-[^\W_]+)*(?='(?:s|m|d|ll|re|ve)\b)|'(?:s|m|d|ll|re|ve)\b|[^\W_]+?(?=n't\b)|n't\b|[^\W_]+(?:-[^\W_]+)*|\S")
+    texts = ["I can't, won't and couldn't; they're Anna's well-known mother-in-law's", "a_b c--d 3.5% naïve l'été isn't n't 'tis 'd", "", "x" * 5000 + " don't " * 300, " a b\r\nc\td"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.x for r in df.select("i", tx.word_tokens("t").alias("x")).collect()}
+    assert got == {i: [w for w in splits.findall(t.lower()) if re.fullmatch("[a-z0-9]+", w)] for i, t in enumerate(texts)}
+
+
+def test_labelled_csv_round_trip(spark, tmp_path):
+    rows = [("1", 'quoted "words", and\nlines'), ("2", None), ("3", "plain"), ("4", "back\\slash")]
+    for label, part in (("1990s", rows[:2]), ("none", rows[2:])):
+        files.save_labelled_csv(spark.createDataFrame(part, files.MOVIES), str(tmp_path), label)
+    got = {r.title: (r.plot, r.decade) for r in files.read_labelled_csv(spark, f"{tmp_path}/*-movies.csv").collect()}
+    assert got == {t: (p, "1990s" if t in "12" else "none") for t, p in rows}
+
+
+def test_samples_from_one_stream():
+    stream = np.random.RandomState(42)
+    assert ex.sample_stream(500, [50, 10, 10]) == [stream.choice(500, n, replace=False).tolist() for n in (50, 10, 10)]
+    assert ex.sample_stream(500, [50])[0] == ex.sample_ids(500, 50) and len(ex.sample_stream(4, [50])[0]) == 4
+    assert (ex.pq_parts(50), ex.pq_parts(100), ex.pq_parts(200)) == (2, 2, 4)
+
+
+def test_trained_words_know_synonyms(spark):
+    import random
+
+    rng = random.Random(5)
+    topics = [["boat", "ship", "harbor", "sail"], ["oven", "flour", "bread", "yeast"]]
+    docs = [(i, [rng.choice(topics[i % 2]) for _ in range(30)]) for i in range(300)]
+    model = embedding.train_word2vec(spark.createDataFrame(docs, "doc_id bigint, tokens array<string>"), size=8, min_count=1, iterations=3)
+    near = embedding.nearest_words(model, spark.createDataFrame([("boat",), ("oven",)], "word string"), 3).collect()
+    assert {r.near for r in near if r.word == "boat"} == {"ship", "harbor", "sail"} and {r.near for r in near if r.word == "oven"} == {"flour", "bread", "yeast"}
+    assert sorted(r.rank for r in near) == [1, 1, 2, 2, 3, 3]
