@@ -87,6 +87,7 @@ class MultiIndex:
     def fill(self, cell: np.ndarray, count: np.ndarray) -> None:
         """Take in how many vectors each cell has, and cut the cells, in the order of their regions, into blocks."""
         self.size[cell] = count
+        self.size_list = self.size.tolist()
         order = np.argsort(self.region, kind="stable")
         order = order[self.size[order] > 0]
         self.block, self.pieces = np.full(len(self.size), -1), np.ones(len(self.size), np.int64)
@@ -100,13 +101,13 @@ class MultiIndex:
             if held + n > BLOCK_ROWS or (r != region and held > BLOCK_ROWS // 2):
                 block, held = block + 1, 0
             self.block[c], held, region = block, held + n, r
-        self.blocks = block + 1
+        self.blocks, self.block_list, self.piece_list = block + 1, self.block.tolist(), self.pieces.tolist()
         self.held = np.bincount(self.block[order], weights=self.size[order] / self.pieces[order], minlength=self.blocks)
         for c in np.flatnonzero(self.pieces > 1):
             self.held[self.block[c] : self.block[c] + self.pieces[c]] = self.size[c] / self.pieces[c]
 
     def visits(self, x: np.ndarray, probes: int) -> list[list[int]]:
-        size, out = self.size.tolist(), []
+        size, out = self.size_list, []
         for a, b in zip(*self.distances(x), strict=True):
             i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
             out.append(visit_order(a[i].tolist(), b[j].tolist(), i.tolist(), j.tolist(), size, probes))
@@ -116,8 +117,8 @@ class MultiIndex:
         """The blocks of some cells, and the cells in each."""
         out: dict[int, list[int]] = {}
         for c in cells:
-            first = int(self.block[c])
-            for block in range(first, first + int(self.pieces[c])):
+            first = self.block_list[c]
+            for block in range(first, first + self.piece_list[c]):
                 out.setdefault(block, []).append(c)
         return out
 
@@ -294,13 +295,15 @@ def similar_vectors(
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to all parts of the block that holds it, and each query to one part of every block it visits."""
         ix, least_key = held.value, {}
+        parts, first_part = ix.parts.tolist(), ix.first_part.tolist()
         for whole in batches:
             for start in range(0, whole.num_rows, 2_000):  # no rows, no rounds
                 batch = whole.slice(start, 2_000)
                 new, again = [], []
                 # of the copies of a vector in this task the first asks, and those of ever smaller ids are held
-                for i in np.lexsort((np.unique(np.array(batch.column(1).to_pylist()), return_inverse=True)[1], batch.column(0).to_numpy())).tolist():
-                    key, node = batch.column(1)[i].as_py(), batch.column(0)[i].as_py()
+                keys, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+                for i in sorted(range(len(keys)), key=keys.__getitem__):
+                    key, node = keys[i], names[i]
                     if node not in least_key:
                         new.append(i)
                         least_key[node] = key
@@ -315,13 +318,13 @@ def similar_vectors(
                 asks = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False)[: len(new)])
                 visited = dict(zip(asks.tolist(), ix.visits(x[asks], probes), strict=True))
                 out: list[tuple] = []
-                for i, key in enumerate(node.tolist()):
-                    by, home = ix.blocks_of(visited.get(i, ())), int(own[i])
-                    for p in range(int(ix.parts[home])):
-                        out.append((int(ix.first_part[home]) + p, int(cell[i]), i, by.get(home, []) if p == key % int(ix.parts[home]) else []))
+                for i, (key, home, at) in enumerate(zip(node.tolist(), own.tolist(), cell.tolist(), strict=True)):
+                    by = ix.blocks_of(visited.get(i, ()))
+                    for p in range(parts[home]):
+                        out.append((first_part[home] + p, at, i, by.get(home, []) if p == key % parts[home] else []))
                     for block, cells in by.items():
                         if block != home:
-                            out.append((int(ix.first_part[block]) + key % int(ix.parts[block]), -1, i, cells))
+                            out.append((first_part[block] + key % parts[block], -1, i, cells))
                 part, at, i, cells = zip(*out, strict=True)
                 picked = pa.array(i, pa.int64())
                 task = ix.task[np.array(part)]

@@ -56,7 +56,7 @@ REPEAT_WORDS, REPEATED = 100, 0.2
 # Vowels of the Latin (without marks), Greek and Cyrillic scripts.
 _VOWELS = set("aeiouyıøæœαεηιουωаеиоуыэюяєіїё")
 _PUNCTUATION = set(".,;:!?\"'()…“”‘’«»–—-、。，！？「」『』・¿¡")
-_TAG = re.compile(r"<[^<>]*>|&#?[a-z0-9]+;|https?://\S+", re.I)
+_TAG = re.compile(r"</?[a-z!?][^<>]*>|&#?[a-z0-9]+;|https?://\S+", re.I)
 _CLOSING = re.compile(r"[.!?…。！？][\"'”’»)」』]*\s*$")
 #: Scripts written without blanks, of which two characters count as a word.
 _UNSPACED = "぀-ヿ㐀-鿿฀-໿က-႟ក-៿"

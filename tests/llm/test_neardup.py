@@ -143,3 +143,18 @@ def test_one_rule_for_frequent_sequences(spark):
     df = spark.createDataFrame(rows, "id bigint, title string, text string")
     assert len(_frequent(df.limit(900), 3, 20)[0]) and len(_frequent(df, 3, 20)[0])
     assert grouped(spark, rows, 3, 0.5) == brute(rows, 3, 0.5)
+
+
+@pytest.mark.parametrize("n", [200, 1_500, 6_000, 20_000])
+def test_pairs_that_share_boilerplate_with_all_others(spark, n):
+    rng = np.random.default_rng(n)
+    stock = [f"stock{i}" for i in range(25)]
+    rows = []
+    for pair in range(n // 2):
+        both = [f"b{pair}x{i}" for i in range(17)]
+        for side in range(2):
+            own = stock + both + [f"o{pair}x{side}x{i}" for i in range(18)]
+            rows.append((2 * pair + side, None, " ".join(rng.permutation(own))))
+    got = grouped(spark, rows, 1, 0.5)  # 42 of 78 words: 0.538
+    assert sum(got[2 * p + 1] == 2 * p for p in range(n // 2)) == n // 2
+    assert all(got[2 * p] == 2 * p for p in range(n // 2))
