@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillvec.plans.lineage import cut
 
-from .words import WordHashes, hashed, sequences, words_of
+from .words import hash_words, sequences
 
 #: Most words of a piece.
 PIECE_WORDS = 3
@@ -73,10 +73,9 @@ class Passages:
     """Pieces and runs of all passages, as sorted arrays."""
 
     def __init__(self, rows: list[tuple[object, str | None]], min_coverage: float, max_error_share: float):
-        words = [words_of(p) for _, p in rows]
-        keep = [i for i, w in enumerate(words) if w]
+        keep = np.flatnonzero(np.diff(hash_words([p for _, p in rows])[1])).tolist()
         self.ids = [rows[i][0] for i in keep]
-        flat, self.offsets = hashed([words[i] for i in keep], WordHashes())
+        flat, self.offsets = hash_words([rows[i][1] for i in keep])
         self.words = [flat[a:b].astype(np.int64).tolist() for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
         lengths = np.diff(self.offsets)
         # an edit spoils a piece; as many edits as words leave no passage
@@ -166,9 +165,9 @@ def _stretches(places: np.ndarray, reach: int, size: int) -> Iterator[tuple[int,
         yield a, b
 
 
-def _find(texts: list[str | None], p: Passages, cache: WordHashes, min_coverage: float) -> list[tuple]:
+def _find(texts: list[str | None], p: Passages, min_coverage: float) -> list[tuple]:
     """Text number, passage number, coverage (None without runs) and distance of what is found in some texts."""
-    flat, offsets = hashed([words_of(t) for t in texts], cache)
+    flat, offsets = hash_words(texts)
     n_items, out = max(1, len(p.ids)), []
     pairs = _pairs(flat, offsets, p)
     if not len(pairs):
@@ -260,11 +259,11 @@ def _scan(texts: DataFrame, held: DataFrame, min_coverage: float, max_error_shar
     id_type, item_type = texts.schema["doc_id"].dataType.simpleString(), held.schema["item_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, cache = shared.value, WordHashes()
+        p = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(start, TEXTS_AT_ONCE)
-                out = _find(batch.column(1).to_pylist(), p, cache, min_coverage)
+                out = _find(batch.column(1).to_pylist(), p, min_coverage)
                 if out:
                     d, item, share, distance = zip(*out, strict=True)
                     form = ["whole" if not x else "altered" if x <= p.budget[i] else "part" for i, x in zip(item, distance, strict=True)]

@@ -1,9 +1,11 @@
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from quillvec.llm import words as words_module
 from quillvec.llm.terms import term_counts, term_mark
-from quillvec.llm.words import WordHashes, hashed, sequences, words_of
+from quillvec.llm.words import WordHashes, hash_words, hashed, sequences, words_of
 
 SCHEMA = "doc_id bigint, tokens array<string>, term string, records int"
 
@@ -55,3 +57,26 @@ def test_sequences_never_cross_texts():
 def test_words():
     assert words_of("Don't stop_2 — naïve ÉTÉ 42!") == ["don", "t", "stop", "2", "naïve", "été", "42"]
     assert words_of(None) == words_of("") == []
+
+
+def test_hashed_words_are_those_of_the_pattern(monkeypatch):
+    texts = ["Don't stop_2 — naïve ÉTÉ 42!", None, "", "  ", "İstanbul ΣΑΣ ΣΑΣ\nⅣ ½ x²", "漢字かな 한국어 ไทย हिन्दी", "a" * 3000, "a b a\x00b퟿", "_x_ y__z", "𝔘𝔫𝔦 😀 ok"] * 3
+    flat, offsets = hash_words(texts)
+    words = [words_of(t) for t in texts]
+    assert np.diff(offsets).tolist() == [len(w) for w in words]
+    same, other = {}, {}
+    for h, w in zip(flat.tolist(), [w for t in words for w in t], strict=True):
+        assert same.setdefault(w, h) == h and other.setdefault(h, w) == w
+    monkeypatch.setattr(words_module, "CHARACTERS_AT_ONCE", 7)
+    again = hash_words(texts)
+    assert (again[0] == flat).all() and (again[1] == offsets).all()
+    assert (hashed(words, WordHashes())[0] == flat).all()
+    assert hash_words([])[1].tolist() == [0] and hash_words([None])[1].tolist() == [0, 0]
+
+
+def test_hashes_of_many_words_differ():
+    words = [f"{a}{b}" for a in range(700) for b in "abcdefghij" * 30]
+    flat, _ = hash_words([" ".join(words)])
+    assert len(set(flat.tolist())) == len(set(words))
+    anagrams = ["ab ba abc bca cab aab aba baa a aa aaa aaaa"]
+    assert len(set(hash_words(anagrams)[0].tolist())) == 12
