@@ -16,14 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.plans.lineage import cut
 
 from .components import connected_components
-from .words import WordHashes, hashed, mix, sequences, words_of
+from .words import hash_words, mix, run_hashes, sequences
 
 #: Bits of the pruning sketch.
 SKETCH_BITS = 512
@@ -40,24 +39,23 @@ BLOCK = 1_000_000
 PAIRS_HELD = 500_000
 
 
-def _text_sets(ids, titles, plots, words: int, min_words: int, cache: WordHashes):
+def _text_sets(ids, titles, plots, words: int, min_words: int):
     """Of the rows whose plot has enough words: row number, hash of the whole word sequence, and the distinct sequences of each."""
-    rows, texts = [], []
-    for i, (title, plot) in enumerate(zip(titles, plots, strict=True)):
-        if ids[i] is None or not plot:
-            continue
-        own = words_of(plot)
-        if len(own) >= min_words:
-            rows.append(i)
-            texts.append(words_of(title) + own)
-    flat, offsets = hashed(texts, cache)
-    node = np.array([xxhash.xxh3_64_intdigest(" ".join(t)) for t in texts], np.uint64).astype(np.int64)
+    some = [i for i, plot in enumerate(plots) if ids[i] is not None and plot]
+    in_title = np.diff(hash_words([titles[i] for i in some])[1])
+    flat, offsets = hash_words([f"{titles[i] or ''}\n{plots[i]}" for i in some])
+    count = np.diff(offsets)
+    enough = count - in_title >= min_words
+    rows = np.array(some, np.int64)[enough]
+    flat = flat[np.repeat(enough, count)]
+    offsets = np.r_[0, np.cumsum(count[enough])]
+    node = run_hashes(flat, offsets[:-1], offsets[1:]).astype(np.int64)
     h, text, _ = sequences(flat, offsets, words)
     # 44 bits of hash and the text number in one integer, which sorts fast
     both = np.sort((text.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
     both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
     text, h = (both >> np.uint64(44)).astype(np.int64), both & np.uint64((1 << 44) - 1)
-    return np.array(rows, np.int64), node, h, text, np.bincount(text, minlength=len(texts))
+    return rows, node, h, text, np.bincount(text, minlength=len(rows))
 
 
 def join_keys(h: np.ndarray, text: np.ndarray, sizes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], threshold: float):
@@ -178,13 +176,12 @@ def near_duplicate_links(
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
 
-    def sets(batch: pa.RecordBatch, cache: WordHashes):
-        return _text_sets(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), words, min_words, cache)
+    def sets(batch: pa.RecordBatch):
+        return _text_sets(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), words, min_words)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            at, node, h, text, sizes = sets(batch, cache)
+            at, node, h, text, sizes = sets(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), pa.array(_binary(_sketches(h, text, len(sizes))), pa.binary())], names=["id", "node", "size", "sketch"])
 
     id_type = rows.schema["id"].dataType.simpleString()
@@ -194,9 +191,9 @@ def near_duplicate_links(
     shared = spark.sparkContext.broadcast(frequent)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
-            _, node, h, text, sizes = sets(batch, cache)
+            _, node, h, text, sizes = sets(batch)
             t, k, place = join_keys(h, text, sizes, shared.value, threshold)
             fresh = np.zeros(len(node), bool)  # equal texts of a task give their keys once
             for i, x in enumerate(node.tolist()):
@@ -212,6 +209,7 @@ def near_duplicate_links(
         .mapInArrow(_key_pairs(threshold), "a bigint, b bigint, met int, least int")
         .groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     )
+    candidates = cut(candidates, "candidates")  # frees the keys' shuffle, by far the largest, before the next one comes
     sketches = described.select("node", "size", "sketch").dropDuplicates(["node"])
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
@@ -229,9 +227,8 @@ def near_duplicate_links(
     first = members.groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node").select("id")
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            _, node, h, text, sizes = sets(batch, cache)
+            _, node, h, text, sizes = sets(batch)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(h.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists], names=["node", "items"])
 
@@ -248,9 +245,8 @@ def _frequent(rows: DataFrame, words: int, min_words: int) -> tuple[np.ndarray,
     sample = rows if n <= SAMPLE_ROWS else rows.sample(fraction=SAMPLE_ROWS / n, seed=29)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            _, _, h, _, _ = _text_sets(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), words, min_words, cache)
+            _, _, h, _, _ = _text_sets(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), words, min_words)
             h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
