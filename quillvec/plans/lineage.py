@@ -17,6 +17,7 @@ import uuid
 from pathlib import Path
 
 from pyspark import SparkContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Paths of written tables, and the weak reference to the file index of each.
@@ -59,9 +60,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return own(read_cut(df.sparkSession, path, df), path)
 
 
+#: Lets a query remove its shuffle files when it ends, where the session knows the setting.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_cut(df: DataFrame, label: str) -> str:
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    """The path to which `df` was written. The shuffle files behind it go at once: nothing reads them again."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    with contextlib.suppress(AnalysisException):
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     return path
 
 

@@ -63,3 +63,12 @@ def test_only_a_local_master_gets_a_folder_of_this_machine():
             lineage.shared_folder(session(master))
         assert lineage.shared_folder(session(master, "file:///shared/")) == "file:///shared"
     assert lineage.shared_folder(session("local[2]")).startswith("file:///")
+
+
+def test_shuffles_behind_a_table_go(spark):
+    seen = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = spark.conf.get(lineage.FREE_SHUFFLES)
+    held = seen.shuffleStatuses().size()
+    df = lineage.cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert seen.shuffleStatuses().size() <= held and spark.conf.get(lineage.FREE_SHUFFLES) == before
+    assert df.count() == 7
