@@ -32,7 +32,10 @@ def unit_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataF
     Null ids and vectors that are null, of another length, all zero, or with a
     null, NaN or infinite component are left out. A task gives each id only once.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & (F.size("x") == dim))
+    x = F.col(vector_col)
+    if df.select(x).schema[0].dataType.simpleString() != "array<float>":  # floats stay as narrow as they are on the way to Python
+        x = x.cast("array<double>")
+    rows = df.select(F.col(id_col).alias("id"), x.alias("x")).where(F.col("id").isNotNull() & (F.size("x") == dim))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
