@@ -14,7 +14,7 @@ from quillvec.functions.ranking import topk
 from quillvec.functions.vectors import as_doubles, norm
 from quillvec.plans.lineage import cut
 
-from .arrow import to_lists
+from .arrow import small, to_lists
 
 
 #: Rows that one partition trains on.
@@ -59,8 +59,10 @@ def mean_pool(tokens: DataFrame, words: DataFrame, dim: int) -> DataFrame:
 
 def tfidf(tokens: DataFrame) -> DataFrame:
     """`doc_id, term, tf, w` with w = tf * (ln((N + 1) / (df + 1)) + 1)."""
-    tf = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    counts = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = cut(counts, "tf")  # counted once for both uses
+    # a small vocabulary goes to the counts, which then stay where they are, the commonest terms too
+    df = small(tf.groupBy("term").agg(F.count("*").alias("df")))
     n = tokens.agg(F.countDistinct("doc_id").alias("n_docs"))
     w = F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
     return tf.join(df, "term").crossJoin(F.broadcast(n)).select("doc_id", "term", "tf", F.round(w, 6).alias("w"))

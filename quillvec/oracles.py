@@ -121,7 +121,9 @@ def oracle_sql() -> dict[str, str]:
     keys = ["dk AS MATERIALIZED (SELECT doc_id, CAST(j // 8 AS INTEGER) AS tbl, CAST(sum(bit * power(2, 7 - j % 8)) AS BIGINT) AS key FROM dbit GROUP BY 1, 2)", "qk AS (SELECT qid, CAST(j // 8 AS INTEGER) AS tbl, CAST(sum(bit * power(2, 7 - j % 8)) AS BIGINT) AS key FROM qbit GROUP BY 1, 2)", "cand AS MATERIALIZED (SELECT DISTINCT qid, doc_id FROM dk JOIN qk USING (tbl, key))"]
     judged = [_TRUTH, _HALF, _HIT, _PER_QUERY]
     sweep = ", ".join(_probed(n, name=f"near{n}") for n in (1, 2, 5))
-    ivfpq = [*_IVF, _PROBE, _RESIDUAL, _parts("rest", "rpart"), *_lloyd("rpart", "rq", PQ_K, ROUNDS), _parts("(SELECT p.qid * 100 + p.cid AS doc_id, p.qid, p.cid AS cell, list_transform(list_zip(qv, cv), lambda p: p[1] - p[2]) AS v FROM probe p WHERE probe_rank <= 2)", "qrest").replace("SELECT doc_id,", "SELECT qid, cell,"), "tab AS MATERIALIZED (SELECT qid, cell, c.sub, cid, power(list_distance(q.v, cv), 2) AS d2 FROM qrest q JOIN rq_c c ON q.sub = c.sub)"]
+    def ivfpq(cells: list[str], codes: int, n: int) -> list[str]:
+        return [*cells, _PROBE, _RESIDUAL, _parts("rest", "rpart"), *_lloyd("rpart", "rq", codes, ROUNDS), _parts(f"(SELECT p.qid * 100 + p.cid AS doc_id, p.qid, p.cid AS cell, list_transform(list_zip(qv, cv), lambda p: p[1] - p[2]) AS v FROM probe p WHERE probe_rank <= {n})", "qrest").replace("SELECT doc_id,", "SELECT qid, cell,"), "tab AS MATERIALIZED (SELECT qid, cell, c.sub, cid, power(list_distance(q.v, cv), 2) AS d2 FROM qrest q JOIN rq_c c ON q.sub = c.sub)"]
+    residual_sums = "SELECT t.qid, a.doc_id, round(sum(d2), 6) AS score FROM tab t JOIN rest r ON r.cell = t.cell JOIN rq_a a ON a.doc_id = r.doc_id AND a.sub = t.sub AND a.cid = t.cid GROUP BY 1, 2"
     top = "SELECT qid, rank, doc_id, score FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS INTEGER) AS rank, doc_id, score FROM ({}))  WHERE rank <= 10"
     hit_gain = "round(avg(coalesce(n, 0) / 10), 6) AS recall_at_k, round(avg(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i))), 6) AS ndcg_at_k"
 
@@ -177,7 +179,8 @@ def oracle_sql() -> dict[str, str]:
         "q5_adc_table": _sql("SELECT qid, sub, cid AS code, round(d2, 6) AS d2 FROM adc", *_PQ, _QPART, _ADC),
         "q7_search": _sql(top.format("SELECT qid, doc_id, round(sum(d2), 6) AS score FROM adc JOIN pq_a a ON a.sub = adc.sub AND a.cid = adc.cid GROUP BY qid, doc_id"), *_PQ, _QPART, _ADC),
         "q8_compression": "SELECT m, CAST(4.0 * 64 / (2 * m) AS DOUBLE) AS compression_ratio FROM (VALUES (2), (4), (8)) t(m)",
-        "f3_ivfpq": _sql(top.format("SELECT t.qid, a.doc_id, round(sum(d2), 6) AS score FROM tab t JOIN rest r ON r.cell = t.cell JOIN rq_a a ON a.doc_id = r.doc_id AND a.sub = t.sub AND a.cid = t.cid GROUP BY 1, 2"), *ivfpq),
+        "f3_ivfpq": _sql(top.format(residual_sums), *ivfpq(_IVF, PQ_K, 2)),
+        "f3_ivfpq_100": _sql(top.format(residual_sums), *ivfpq([_WHOLE, *_lloyd("whole", "km", 100, ROUNDS)], 256, 5)),
         "h2_signatures": _sql("SELECT doc_id, string_agg(bit, '' ORDER BY j) AS signature FROM dbit GROUP BY doc_id", *m32),
         "h3_bands": _sql("SELECT doc_id, CAST(j // 8 AS INTEGER) AS band, string_agg(bit, '' ORDER BY j) AS key FROM dbit GROUP BY 1, 2", *m32),
         "h4_candidates": _sql("SELECT * FROM cand16", *m128, *_banded(16)),

@@ -306,6 +306,15 @@ def f3_ivfpq(s, d):
     return pq.ivfpq_search(assigned, _queries(s, d), c, quantizer, K, 2)
 
 
+def f3_ivfpq_100(s, d):
+    """The reference's 100 lists with residuals in 4 x 256 codes, 5 probes."""
+    docs, c = _cells(s, d, LISTS)
+    assigned = kmeans.assign(docs, c)
+    left = cut(pq.residuals(assigned, c), "residuals")
+    quantizer = pq.ProductQuantizer(PQ_M, PQ_CODES, ROUNDS).fit(left.select("doc_id", "v"), stored=True)
+    return pq.ivfpq_answer(quantizer.encode(left), _queries(s, d), c, quantizer, K, 5)
+
+
 # hashing
 
 
