@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillvec.functions.ranking import topk
-from quillvec.functions.vectors import as_doubles, norm
-from quillvec.plans.lineage import cut
+from quillvec.functions.vectors import norm
+from quillvec.plans.lineage import cut, free_shuffles, sweep
 
 from .arrow import small, to_lists
 
@@ -83,8 +86,11 @@ def cosine_with_epsilon(a: Column | str, b: Column | str, epsilon: float = 1e-10
 
 
 #: Documents that are multiplied at once, and terms of one block of sums.
-DOCS_AT_ONCE = 200
-TERM_BLOCK = 64
+DOCS_AT_ONCE = 32
+TERM_BLOCK = 1024
+#: Numbers of the term side that driver and tasks hold at once, and rows of it that the driver turns at once.
+HELD_NUMBERS = 6_000_000
+ROWS_AT_ONCE = 4096
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -92,11 +98,43 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(s, DOCS_AT_ONCE)
 
 
-def _times(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
-    """Sparse rows (columns 1 and 2: term numbers and weights, none empty) times `q`."""
-    t, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-    starts = batch.column(1).offsets.to_numpy()[:-1] - batch.column(1).offsets[0].as_py()
-    return np.add.reduceat(q[t] * w[:, None], starts, axis=0)
+def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of sparse rows (columns 1 and 2: term numbers and weights), and the rows as a matrix over these terms only."""
+    seen, column = np.unique(batch.column(1).flatten().to_numpy(), return_inverse=True)
+    m = np.zeros((batch.num_rows, len(seen)))
+    m[np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy())), column] = batch.column(2).flatten().to_numpy()
+    return seen, m
+
+
+def _spans(width: int, columns: int) -> list[tuple[int, int]]:
+    """Stretches of columns, each of at most HELD_NUMBERS numbers with `width` rows, or of one column."""
+    n = -(-columns // max(1, HELD_NUMBERS // width))
+    ends = [columns * i // n for i in range(n + 1)]
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
+def _on_disk(rows: int, columns: int) -> np.ndarray:
+    """A matrix in an unnamed file of the driver, which goes with the matrix; pages in memory are given back when others need it."""
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, np.float64, "w+", shape=(rows, columns))
+
+
+def _row_blocks(q: np.ndarray) -> Iterator[slice]:
+    for s in range(0, len(q), ROWS_AT_ONCE):
+        yield slice(s, s + ROWS_AT_ONCE)
+
+
+def _orthonormal(q: np.ndarray) -> None:
+    """Make the columns of `q` orthonormal where they lie; columns beyond its rank become zero."""
+    for _ in range(2):  # again, for what rounding leaves
+        r = np.zeros((0, q.shape[1]))
+        for rows in _row_blocks(q):
+            r = np.linalg.qr(np.vstack([r, q[rows]]), mode="r")
+        values, turn = np.linalg.svd(r)[1:]
+        kept = values > 1e-13 * values[:1]
+        by = turn.T * np.where(kept, 1 / np.where(kept, values, 1), 0)
+        for rows in _row_blocks(q):
+            q[rows] = q[rows] @ by
 
 
 @dataclass
@@ -104,8 +142,9 @@ class LSI:
     """Truncated SVD of the document-term matrix; documents are scaled left vectors, queries are projected on terms.
 
     The vocabulary is every term, or the `max_terms` most frequent (by documents,
-    ties by term) if that is given. Driver and tasks hold `k` + 10 numbers of each
-    term.
+    ties by term) if that is given. The driver holds the terms; the `k` + 10 numbers
+    of each are in a file of its disk, of which HELD_NUMBERS at once, whole columns,
+    are in the memory of driver and tasks.
     """
 
     k: int = 200
@@ -114,104 +153,149 @@ class LSI:
     terms: list[str] | None = None
     idf: np.ndarray | None = None
     sigma: np.ndarray | None = None
-    term_vectors: np.ndarray | None = None  # terms x k
-    doc_vectors: DataFrame | None = None
+    term_vectors: np.ndarray | None = None  # terms x k, on disk
+    rows: DataFrame | None = None  # doc_id, t, w: the terms of each document that has any
+    documents: DataFrame | None = None  # doc_id
 
     def fit(self, tokens: DataFrame) -> LSI:
         """Subspace iteration from random directions: each pass over the documents multiplies them by both sides of the matrix."""
         weights = tfidf(tokens)
-        vocabulary = weights.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term")
-        vocabulary = (vocabulary if self.max_terms is None else vocabulary.limit(self.max_terms)).collect()
-        self.terms = sorted(r.term for r in vocabulary)
+        vocabulary = weights.groupBy("term").agg(F.count("*").alias("df"))
+        if self.max_terms is not None:
+            vocabulary = vocabulary.orderBy(F.desc("df"), "term").limit(self.max_terms)
+        vocabulary = vocabulary.toArrow().sort_by("term")
+        self.terms = vocabulary.column("term").to_pylist()
         n, width = tokens.select("doc_id").distinct().count(), len(self.terms)
         if not width:
             raise ValueError("no terms to fit on")
-        df = {r.term: r.df for r in vocabulary}
-        self.idf = np.array([np.log((n + 1) / (df[t] + 1)) + 1 for t in self.terms])
-        spark = tokens.sparkSession
-        index = spark.createDataFrame(list(zip(self.terms, range(width), strict=True)), "term string, t int")
-        rows = weights.join(F.broadcast(index), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("e"))
-        rows = cut(rows.select("doc_id", F.col("e.t").alias("t"), F.col("e.w").alias("w")), "lsi")
+        self.idf = np.log((n + 1) / (vocabulary.column("df").to_numpy() + 1)) + 1
+        index = tokens.sparkSession.createDataFrame(pa.table({"term": vocabulary.column("term"), "t": pa.array(np.arange(width), pa.int32())}))
+        rows = weights.join(small(index), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("e"))
+        self.rows = rows = cut(rows.select("doc_id", F.col("e.t").alias("t"), F.col("e.w").alias("w")), "lsi")
+        self.documents = tokens.select("doc_id").distinct()
+        del weights, vocabulary, index
+        sweep(collect=True)  # the counts aren't read again
         k = min(self.k, width)
-        q = np.linalg.qr(np.random.default_rng(42).standard_normal((width, min(width, k + 10))))[0]
+        q = _on_disk(width, min(width, k + 10))
+        start = np.random.default_rng(42)
+        for at in _row_blocks(q):
+            q[at] = start.standard_normal(q[at].shape)
+        _orthonormal(q)
+        spans = _spans(*q.shape)
         for _ in range(self.passes):
-            q = np.linalg.qr(self._both_sides(rows, q))[0]
-        small = q.T @ self._both_sides(rows, q)
-        values, turn = np.linalg.eigh((small + small.T) / 2)
-        order = np.argsort(-values)[:k]
-        self.sigma = np.sqrt(np.maximum(values[order], 1e-12))
-        self.term_vectors = q @ turn[:, order]
-        shared = spark.sparkContext.broadcast(self.term_vectors)
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in _parts(batch):
-                    yield pa.RecordBatch.from_arrays([part.column(0), to_lists(_times(part, shared.value))], names=["doc_id", "v"])
-
-        found = rows.mapInArrow(place, "doc_id bigint, v array<double>")
-        zero = F.array_repeat(F.lit(0.0), k)
-        self.doc_vectors = tokens.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("v", zero).alias("v"))
+            for first, last in spans:  # a column needs no other one, so it takes its own place
+                q[:, first:last] = self._both_sides(rows, q[:, first:last])
+            _orthonormal(q)
+        inner = np.zeros((q.shape[1], q.shape[1]))
+        for first, last in spans:
+            z = self._both_sides(rows, q[:, first:last])
+            inner[:, first:last] = sum(q[at].T @ z[at] for at in _row_blocks(q))
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(-values)
+        self.sigma = np.sqrt(np.maximum(values[order[:k]], 1e-12))
+        for at in _row_blocks(q):
+            q[at] = q[at] @ turn[:, order]
+        self.term_vectors = q[:, :k]
         return self
 
     @staticmethod
     def _both_sides(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         """Transposed matrix times matrix times `q`; only as many numbers as `q` has reach the driver."""
-        shared = rows.sparkSession.sparkContext.broadcast(q)
+        width, columns = q.shape
+        shared = rows.sparkSession.sparkContext.broadcast(np.array(q))
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shared.value.shape)
+            total, known = np.zeros((width, columns)), np.zeros(width, bool)
             for batch in batches:
                 for part in _parts(batch):
-                    y = _times(part, shared.value)
-                    t, w = part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
-                    order = np.argsort(t, kind="stable")
-                    doc = np.repeat(np.arange(len(y)), np.diff(part.column(1).offsets.to_numpy()))[order]
-                    t, w = t[order], w[order]
-                    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                    total[t[start]] += np.add.reduceat(y[doc] * w[:, None], start, axis=0)
-            for s in range(0, len(total), TERM_BLOCK):
-                block = total[s : s + TERM_BLOCK]
-                if block.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["t", "x"])
+                    seen, m = _dense(part)
+                    total[seen] += m.T @ (m @ shared.value[seen])
+                    known[seen] = True
+            for s in range(0, width, TERM_BLOCK):
+                t = np.flatnonzero(known[s : s + TERM_BLOCK]).astype(np.int32)
+                if len(t):  # most terms are seldom: only those that the task saw are shuffled
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([t.tobytes()], pa.binary()), pa.array([total[s + t].tobytes()], pa.binary())], names=["s", "t", "x"])
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def whole(s: int, held: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["s", "x"])
+
             at, held = None, None
             for batch in batches:
-                for s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if s == at:
-                        held += np.frombuffer(x)
-                        continue
-                    if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["t", "x"])
-                    at, held = s, np.frombuffer(x).copy()
+                for i in range(batch.num_rows):
+                    s, t, x = (batch.column(c)[i].as_py() for c in range(3))
+                    if s != at:
+                        if at is not None:
+                            yield whole(at, held)
+                        at, held = s, np.zeros((min(TERM_BLOCK, width - s), columns))
+                    held[np.frombuffer(t, np.int32)] += np.frombuffer(x).reshape(-1, columns)
             if at is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["t", "x"])
+                yield whole(at, held)
 
-        # each task has sums of every term, so no more tasks than run at once
-        blocks = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(step, "t int, x binary").repartition("t").sortWithinPartitions("t").mapInArrow(added, "t int, x binary")
         out = np.zeros(q.shape)
-        table = blocks.toArrow()
-        for s, x in zip(table.column("t").to_pylist(), table.column("x").to_pylist(), strict=True):
-            block = np.frombuffer(x).reshape(-1, q.shape[1])
-            out[s : s + len(block)] = block
-        shared.unpersist()
+        with free_shuffles(rows.sparkSession):
+            # each task has sums of the terms that it saw, so no more tasks than run at once
+            sums = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(step, "s int, t binary, x binary")
+            blocks = sums.repartition("s").sortWithinPartitions("s").mapInArrow(added, "s int, x binary").toArrow()
+        for batch in blocks.to_batches():
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out[s : s + TERM_BLOCK] = np.frombuffer(x.as_buffer()).reshape(-1, columns)
+        shared.destroy()
         return out
 
+    def _placed(self, first: int, last: int):
+        """The term side of some components for the tasks, and what gives the places of sparse rows in these components."""
+        shared = self.rows.sparkSession.sparkContext.broadcast(np.array(self.term_vectors[:, first:last]))
+
+        def place(part: pa.RecordBatch) -> np.ndarray:
+            seen, m = _dense(part)
+            return m @ shared.value[seen]
+
+        return shared, place
+
+    @property
+    def doc_vectors(self) -> DataFrame:
+        """`doc_id, v`, zero for a document without terms; each task holds some components of the terms, and a document's are put together."""
+        pieces = []
+        for first, last in _spans(*self.term_vectors.shape):
+            _, place = self._placed(first, last)
+
+            def piece(batches: Iterator[pa.RecordBatch], first: int = first, place=place) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for part in _parts(batch):
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([first] * part.num_rows, pa.int32()), to_lists(place(part))], names=["doc_id", "at", "v"])
+
+            pieces.append(self.rows.mapInArrow(piece, "doc_id bigint, at int, v array<double>"))
+        found = reduce(DataFrame.unionAll, pieces).groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("at", "v")))["v"]).alias("v"))
+        zero = F.array_repeat(F.lit(0.0), self.term_vectors.shape[1])
+        return self.documents.join(found, "doc_id", "left").select("doc_id", F.coalesce("v", zero).alias("v"))
+
     def transform_query(self, tokens: list[str]) -> np.ndarray:
         """Inverse singular values times term vectors times the query's tf-idf; unknown terms count nothing."""
         if self.terms is None:
             raise ValueError("fit the model first")
-        at = {t: i for i, t in enumerate(self.terms)}
-        q = np.zeros(len(self.terms))
-        for t in tokens:
-            if t in at:
-                q[at[t]] += self.idf[at[t]]
-        return (self.term_vectors.T @ q) / self.sigma
+        tf = Counter(tokens)
+        at = [i for i, t in enumerate(self.terms) if t in tf]
+        q = np.array([tf[self.terms[i]] * self.idf[i] for i in at])
+        return (self.term_vectors[at].T @ q) / self.sigma
 
     def search(self, tokens: list[str], k: int = 10) -> DataFrame:
-        """`rank, doc_id, score` by cosine; the projection is scaled as the documents are."""
+        """`rank, doc_id, score` by cosine; the projection is scaled as the documents are. Of a document only sums over its components are kept."""
         q = self.transform_query(tokens) * self.sigma
-        literal = F.array(*[F.lit(float(x)) for x in q])
-        scored = self.doc_vectors.select("doc_id", F.round(cosine_with_epsilon(as_doubles("v"), literal), 6).alias("score"))
+        sums = []
+        for first, last in _spans(*self.term_vectors.shape):
+            shared, place = self._placed(first, last)
+
+            def measure(batches: Iterator[pa.RecordBatch], asked: np.ndarray = q[first:last], place=place) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for part in _parts(batch):
+                        v = place(part)
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(v @ asked), pa.array((v * v).sum(axis=1))], names=["doc_id", "dot", "sq"])
+
+            sums.append(cut(self.rows.mapInArrow(measure, "doc_id bigint, dot double, sq double"), "lsi-sums"))
+            shared.destroy()
+        found = reduce(DataFrame.unionAll, sums).groupBy("doc_id").agg(F.sum("dot").alias("dot"), F.sum("sq").alias("sq"))
+        cosine = F.col("dot") / (F.sqrt("sq") * F.lit(float(np.linalg.norm(q))) + F.lit(1e-10))
+        scored = self.documents.join(found, "doc_id", "left").select("doc_id", F.round(F.coalesce(cosine, F.lit(0.0)), 6).alias("score"))
         best = scored.orderBy(F.desc("score"), "doc_id").limit(k).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "score"))).alias("best"))  # k rows
         return best.select(F.posexplode("best").alias("at", "b")).select((F.col("at") + 1).alias("rank"), "b.doc_id", "b.score")

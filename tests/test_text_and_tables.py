@@ -79,6 +79,42 @@ def test_lsi_keeps_every_term(spark, monkeypatch):
     assert kept == [(200, None)]
 
 
+def test_lsi_holds_some_columns_of_the_terms_at_once(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [f"t{min(int(rng.exponential(12)), 79)}" for _ in range(20)]) for i in range(90)] + [(99, [])]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    sizes, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, x: sizes.append(np.size(x)) or broadcast(self, x))
+    monkeypatch.setattr(embedding, "HELD_NUMBERS", 300, raising=False)
+    monkeypatch.setattr(embedding, "TERM_BLOCK", 16)
+    model = embedding.LSI(k=6, passes=12).fit(tokens)
+    found = {r.doc_id: r.score for r in model.search(["t1", "t3", "t3"], 91).collect()}
+    assert max(sizes) <= 300 < model.term_vectors.size
+    at = {t: i for i, t in enumerate(model.terms)}
+    dense = np.zeros((91, len(at)))
+    for n, (_, ts) in enumerate(rows):
+        for t in ts:
+            dense[n, at[t]] += model.idf[at[t]]
+    left, sigma, right = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(model.sigma, sigma[:6], rtol=1e-3)
+    q = np.zeros(len(at))
+    q[at["t1"]], q[at["t3"]] = model.idf[at["t1"]], 2 * model.idf[at["t3"]]
+    q, docs = right[:6] @ q, left[:, :6] * sigma[:6]
+    want = docs @ q / (np.linalg.norm(docs, axis=1) * np.linalg.norm(q) + 1e-10)
+    assert np.allclose([found[i] for i, _ in rows], want, atol=0.01)
+    stored = {r.doc_id: r.v for r in model.doc_vectors.collect()}
+    assert np.allclose(np.abs([stored[i] for i, _ in rows]), np.abs(docs), atol=0.05)
+
+
+def test_lsi_of_fewer_dimensions_than_asked(spark):
+    tokens = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["c", "d", "e"])], "doc_id bigint, tokens array<string>")
+    model = embedding.LSI(k=200).fit(tokens)
+    assert np.isfinite(model.sigma).all() and (model.sigma > 1e-3).sum() == 2
+    assert [(r.doc_id, r.score) for r in model.search(["c"], 3).collect()] == [(3, 1.0), (1, 0.0), (2, 0.0)]
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 4)], "k string, v int")
     assert {r.k: r.n for r in corpus.value_counts(df, "k").collect()} == {"a": 2}
