@@ -88,8 +88,8 @@ def cosine_with_epsilon(a: Column | str, b: Column | str, epsilon: float = 1e-10
 #: Documents that are multiplied at once, and terms of one block of sums.
 DOCS_AT_ONCE = 32
 TERM_BLOCK = 1024
-#: Numbers of the term side that driver and tasks hold at once, and rows of it that the driver turns at once.
-HELD_NUMBERS = 6_000_000
+#: Numbers of the term side, of four bytes, that driver and tasks hold at once, and rows of it that the driver turns at once.
+HELD_NUMBERS = 18_000_000
 ROWS_AT_ONCE = 4096
 
 
@@ -101,7 +101,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The terms of sparse rows (columns 1 and 2: term numbers and weights), and the rows as a matrix over these terms only."""
     seen, column = np.unique(batch.column(1).flatten().to_numpy(), return_inverse=True)
-    m = np.zeros((batch.num_rows, len(seen)))
+    m = np.zeros((batch.num_rows, len(seen)), np.float32)
     m[np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy())), column] = batch.column(2).flatten().to_numpy()
     return seen, m
 
@@ -114,9 +114,9 @@ def _spans(width: int, columns: int) -> list[tuple[int, int]]:
 
 
 def _on_disk(rows: int, columns: int) -> np.ndarray:
-    """A matrix in an unnamed file of the driver, which goes with the matrix; pages in memory are given back when others need it."""
+    """A matrix of floats in an unnamed file of the driver, which goes with the matrix; pages in memory are given back when others need it."""
     with tempfile.TemporaryFile() as f:
-        return np.memmap(f, np.float64, "w+", shape=(rows, columns))
+        return np.memmap(f, np.float32, "w+", shape=(rows, columns))
 
 
 def _row_blocks(q: np.ndarray) -> Iterator[slice]:
@@ -125,13 +125,13 @@ def _row_blocks(q: np.ndarray) -> Iterator[slice]:
 
 
 def _orthonormal(q: np.ndarray) -> None:
-    """Make the columns of `q` orthonormal where they lie; columns beyond its rank become zero."""
+    """Make the columns of `q` orthonormal where they lie."""
     for _ in range(2):  # again, for what rounding leaves
         r = np.zeros((0, q.shape[1]))
         for rows in _row_blocks(q):
-            r = np.linalg.qr(np.vstack([r, q[rows]]), mode="r")
+            r = np.linalg.qr(np.vstack([r, q[rows]]), mode="r")  # in doubles, as r is
         values, turn = np.linalg.svd(r)[1:]
-        kept = values > 1e-13 * values[:1]
+        kept = values > 1e-14 * values[:1]
         by = turn.T * np.where(kept, 1 / np.where(kept, values, 1), 0)
         for rows in _row_blocks(q):
             q[rows] = q[rows] @ by
@@ -143,8 +143,8 @@ class LSI:
 
     The vocabulary is every term, or the `max_terms` most frequent (by documents,
     ties by term) if that is given. The driver holds the terms; the `k` + 10 numbers
-    of each are in a file of its disk, of which HELD_NUMBERS at once, whole columns,
-    are in the memory of driver and tasks.
+    of each are floats in a file of its disk, of which HELD_NUMBERS at once, whole
+    columns, are in the memory of driver and tasks. Sums are taken in doubles.
     """
 
     k: int = 200
@@ -184,23 +184,24 @@ class LSI:
         spans = _spans(*q.shape)
         for _ in range(self.passes):
             for first, last in spans:  # a column needs no other one, so it takes its own place
-                q[:, first:last] = self._both_sides(rows, q[:, first:last])
+                self._both_sides(rows, q[:, first:last], q[:, first:last])
             _orthonormal(q)
         inner = np.zeros((q.shape[1], q.shape[1]))
         for first, last in spans:
-            z = self._both_sides(rows, q[:, first:last])
-            inner[:, first:last] = sum(q[at].T @ z[at] for at in _row_blocks(q))
+            z = np.empty((width, last - first), np.float32)
+            self._both_sides(rows, q[:, first:last], z)
+            inner[:, first:last] = sum(q[at].T.astype(np.float64) @ z[at] for at in _row_blocks(q))
         values, turn = np.linalg.eigh((inner + inner.T) / 2)
         order = np.argsort(-values)
         self.sigma = np.sqrt(np.maximum(values[order[:k]], 1e-12))
         for at in _row_blocks(q):
-            q[at] = q[at] @ turn[:, order]
+            q[at] = q[at] @ (turn * (values > 1e-10 * values.max()))[:, order]  # less is rounding, beyond the rank
         self.term_vectors = q[:, :k]
         return self
 
     @staticmethod
-    def _both_sides(rows: DataFrame, q: np.ndarray) -> np.ndarray:
-        """Transposed matrix times matrix times `q`; only as many numbers as `q` has reach the driver."""
+    def _both_sides(rows: DataFrame, q: np.ndarray, out: np.ndarray) -> None:
+        """Write transposed matrix times matrix times `q` to `out`, which may be `q`; only as many numbers as `q` has reach the driver."""
         width, columns = q.shape
         shared = rows.sparkSession.sparkContext.broadcast(np.array(q))
 
@@ -214,11 +215,11 @@ class LSI:
             for s in range(0, width, TERM_BLOCK):
                 t = np.flatnonzero(known[s : s + TERM_BLOCK]).astype(np.int32)
                 if len(t):  # most terms are seldom: only those that the task saw are shuffled
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([t.tobytes()], pa.binary()), pa.array([total[s + t].tobytes()], pa.binary())], names=["s", "t", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([t.tobytes()], pa.binary()), pa.array([total[s + t].astype(np.float32).tobytes()], pa.binary())], names=["s", "t", "x"])
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def whole(s: int, held: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["s", "x"])
+                return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([held.astype(np.float32).tobytes()], pa.binary())], names=["s", "x"])
 
             at, held = None, None
             for batch in batches:
@@ -228,20 +229,18 @@ class LSI:
                         if at is not None:
                             yield whole(at, held)
                         at, held = s, np.zeros((min(TERM_BLOCK, width - s), columns))
-                    held[np.frombuffer(t, np.int32)] += np.frombuffer(x).reshape(-1, columns)
+                    held[np.frombuffer(t, np.int32)] += np.frombuffer(x, np.float32).reshape(-1, columns)
             if at is not None:
                 yield whole(at, held)
 
-        out = np.zeros(q.shape)
         with free_shuffles(rows.sparkSession):
             # each task has sums of the terms that it saw, so no more tasks than run at once
             sums = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(step, "s int, t binary, x binary")
             blocks = sums.repartition("s").sortWithinPartitions("s").mapInArrow(added, "s int, x binary").toArrow()
+        shared.destroy()
         for batch in blocks.to_batches():
             for s, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out[s : s + TERM_BLOCK] = np.frombuffer(x.as_buffer()).reshape(-1, columns)
-        shared.destroy()
-        return out
+                out[s : s + TERM_BLOCK] = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, columns)
 
     def _placed(self, first: int, last: int):
         """The term side of some components for the tasks, and what gives the places of sparse rows in these components."""
@@ -289,7 +288,7 @@ class LSI:
             def measure(batches: Iterator[pa.RecordBatch], asked: np.ndarray = q[first:last], place=place) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for part in _parts(batch):
-                        v = place(part)
+                        v = place(part).astype(np.float64)
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(v @ asked), pa.array((v * v).sum(axis=1))], names=["doc_id", "dot", "sq"])
 
             sums.append(cut(self.rows.mapInArrow(measure, "doc_id bigint, dot double, sq double"), "lsi-sums"))
