@@ -73,7 +73,11 @@ def tfidf(tokens: DataFrame) -> DataFrame:
 
 def nearest_words(model, words: DataFrame, k: int = 3) -> DataFrame:
     """`word, rank, near, similarity`: the nearest other words of each of `words(word)`, a small table, by the model's vectors."""
-    vectors = word_vectors(model)
+    return nearest_by_vectors(word_vectors(model), words, k)
+
+
+def nearest_by_vectors(vectors: DataFrame, words: DataFrame, k: int = 3) -> DataFrame:
+    """As `nearest_words`, by a table `vectors(word, wv)`."""
     asked = vectors.join(F.broadcast(words), "word").select(F.col("word").alias("asked"), F.col("wv").alias("av"))
     scored = vectors.join(F.broadcast(asked), F.col("word") != F.col("asked")).select("asked", "word", F.round(cosine_with_epsilon("wv", "av"), 6).alias("similarity"))
     return topk(scored, "asked", [F.desc("similarity"), "word"], k).select(F.col("asked").alias("word"), "rank", F.col("word").alias("near"), "similarity")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillvec.functions import text as tx
 from quillvec.functions import vectors as vx
 from quillvec.functions.ranking import topk
-from quillvec.operators import corpus, embedding, exact, ivf, kmeans, lsh, metrics, pq
+from quillvec.operators import corpus, embedding, exact, ivf, kmeans, lsh, metrics, pq, skipgram
 from quillvec.operators import experiments as ex
 from quillvec.plans.lineage import cut, new_path, own
 from quillvec.sources import read_table
@@ -503,20 +503,20 @@ def e2_mean_pool(s, d):
     return pooled.select("doc_id", *[F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate(("mean_length", "mean_vowels", "one"))])
 
 
-def _near_words(s, d, **settings) -> DataFrame:
-    tokens = cut(_tokens(s, d), "tokens")
-    frequent = corpus.top_terms(tokens.select(tx.without_stop_words("tokens").alias("tokens")), "tokens", 20).select(F.col("term").alias("word"))
-    return embedding.nearest_words(embedding.train_word2vec(tokens, **settings), frequent)
+def _frequent(tokens: DataFrame) -> DataFrame:
+    return corpus.top_terms(tokens.select(tx.without_stop_words("tokens").alias("tokens")), "tokens", 20).select(F.col("term").alias("word"))
 
 
 def e1_word2vec(s, d):
     """The nearest words of the twenty most frequent ones by vectors of 200 components; training has no SQL."""
-    return _near_words(s, d)
+    tokens = cut(_tokens(s, d), "tokens")
+    return embedding.nearest_words(embedding.train_word2vec(tokens), _frequent(tokens))
 
 
 def e1b_word2vec(s, d):
-    """As e1 with the variant's settings: 100 components, words that occur twice, 20 rounds, as many workers as cores."""
-    return _near_words(s, d, size=100, min_count=2, iterations=20, partitions=s.sparkContext.defaultParallelism)
+    """As e1 with the variant's settings: 100 components, words that occur twice, 20 rounds; negative sampling as there, over counted pairs."""
+    tokens = cut(_tokens(s, d), "tokens")
+    return embedding.nearest_by_vectors(skipgram.train_skipgram(tokens, size=100, min_count=2, iterations=20), _frequent(tokens))
 
 
 def e3_document_vectors(s, d):
